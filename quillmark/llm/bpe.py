@@ -23,9 +23,9 @@ from quillmark.llm.transducer import Transducer, compile_words
 #: How many of the corpus' most frequent words the lexicon takes; bounds what the driver gathers and broadcasts.
 LEXICON_WORDS = 50_000
 #: How many words a worker remembers before it starts afresh.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: How many distinct words a task counts before it hands the counts on.
-COUNTER_WORDS = 300_000
+COUNTER_WORDS = 200_000
 
 #: White space as the tokenizer's pattern has it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -22,7 +22,7 @@ WORDS = 5
 MISS = 1e-6
 #: Bands at most.
 BANDS = 40
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 _R = np.uint64(0x94D049BB133111EB)
@@ -227,7 +227,7 @@ class Linker:
         leaders = 1
         while not (members := self.unresolved(members)).isEmpty():
             members = self.round(members, leaders)
-            leaders *= 4
+            leaders *= 64
 
     def rare_buckets(self, ids: DataFrame) -> DataFrame:
         """Buckets by prefix filtering: two documents that could be linked share one of the rarest shingles of each.

@@ -18,7 +18,7 @@ MARK = "▁"
 #: What an unknown character costs below the lowest score; fixed value of the public tokenizer libraries.
 UNKNOWN_PENALTY = 10.0
 #: How many words a worker remembers before it starts afresh, and how long they are at most.
-MEMO_WORDS, MEMO_CHARS = 500_000, 64
+MEMO_WORDS, MEMO_CHARS = 250_000, 64
 
 
 def read_pieces(path: str) -> tuple[list[tuple[str, float]], int]:
