@@ -10,6 +10,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -65,9 +66,24 @@ class BpeModel:
         self.text_of |= {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = word_pattern()
+        self._merger = self._fast_merger(vocab)
+
+    def _fast_merger(self, vocab: dict[str, int]):
+        """tiktoken's merging of single words ranks pairs by the id they make. That is the same as ranking merges if
+        their order is that of the ids, each made by one merge only; else None, and merging is done here."""
+        made = [new for _, new in sorted(self.merges.values())]
+        if made != sorted(set(made)) or sorted([*self.of_byte, *made]) != list(range(len(made) + 256)) or made[:1] != [256]:
+            return None
+        import tiktoken
+
+        ranks = {self.text_of[i]: i for i in [*self.of_byte, *made]}
+        return tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: lowest rank first, leftmost first, one pair at a time."""
+        return self._merger(word) if self._merger else self.merge_here(word)
+
+    def merge_here(self, word: bytes) -> list[int]:
         ids = [self.of_byte[b] for b in word]
         return self._merge_long(ids) if len(ids) > 48 else self._merge_short(ids)
 
@@ -128,14 +144,27 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
         ids = self.lexicon.get(raw) if self.lexicon else None
-        return b"".join(i.to_bytes(4, "little") for i in (self.model.merge(raw) if ids is None else ids))
+        ids = self.model.merge(raw) if ids is None else ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _segment(self, segment: str) -> bytes:
-        out = b"".join([self._word(w) for w in self.words(segment)])
+        memo = self.memo
+        if len(memo) >= self.memo_words:
+            memo.clear()
+        words = self.words(segment)
+        if words == [segment]:
+            out = self._word(segment)
+        else:
+            found = []
+            for w in words:
+                if (ids := memo.get(w)) is None:
+                    ids = self._word(w)
+                    if len(w) <= 64:
+                        memo[w] = ids
+                found.append(ids)
+            out = b"".join(found)
         if len(segment) <= 64:
-            if len(self.memo) >= self.memo_words:
-                self.memo.clear()
-            self.memo[segment] = out
+            memo[segment] = out
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -143,10 +172,7 @@ class Encoder:
         if (parts := simple_segments(text)) is None:
             return b"".join([memo.get(w) or self._segment(w) for w in self.words(text)])
         keys = [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
-        try:
-            return b"".join([memo[k] for k in keys])
-        except KeyError:
-            return b"".join([memo.get(k) or self._segment(k) for k in keys])
+        return b"".join([memo.get(k) or self._segment(k) for k in keys])
 
     def encode(self, text: str) -> bytes:
         special = self.model.special

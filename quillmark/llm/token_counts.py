@@ -100,10 +100,7 @@ class UnigramCounter:
             return self.best(text)[1]
         memo = self.memo
         parts = self.split.findall(text)
-        try:
-            return sum([memo[p] for p in parts])
-        except KeyError:
-            return sum([memo[p] if p in memo else self._segment(p) for p in parts])
+        return sum([memo.get(p) or self._segment(p) for p in parts])
 
 
 _COUNTERS: dict[str, UnigramCounter] = {}
