@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.bpe import encoder, tokenizer_path
+from quillmark.llm.bpe import tokenizer_path, whole_texts
 from quillmark.llm.common import Workspace, read_table, with_rank
 
 CAPACITY = 2048
@@ -165,7 +165,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     longer one the first piece takes what whole pieces leave. Null text counts as empty: a piece with id 0 alone."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = whole_texts(path)
         for batch in batches:
             out = []
             for key, text in zip(batch["id"], batch["text"], strict=True):
