@@ -147,10 +147,10 @@ def match_prune(spark, sf_dir):
 
 
 def match_file_shortcircuit(spark, sf_dir):
-    """Function matches when the scripts of parts divisible by three are whole files of the catalog too."""
+    """Function matches when the scripts of parts divisible by 97 are whole files of the catalog too."""
     analyzed = an.analyze_scripts(part_scripts(spark, sf_dir))
     base = catalog(spark, sf_dir)
-    whole = analyzed.filter("script_id % 3 = 0").select("file_hash").distinct().select(F.monotonically_increasing_id().alias("ord"), parse_hash(F.col("file_hash")).alias("digest"), F.lit(0).alias("lib_id"), F.lit(0).alias("version_index"))
+    whole = analyzed.filter("script_id % 97 = 0").select("file_hash").distinct().select(F.monotonically_increasing_id().alias("ord"), parse_hash(F.col("file_hash")).alias("digest"), F.lit(0).alias("lib_id"), F.lit(0).alias("version_index"))
     return function_matches(analyzed, Catalog(base.libs, whole, base.funcs)).select("script_id", "seq", "lib", "version")
 
 
@@ -235,8 +235,8 @@ ORACLE_SQL = {
     "lookup_file": f"WITH {_LIBS} SELECT page_id AS script_id, lib, '1.0' AS version FROM pages JOIN libs ON lib_id = page_id % 5 WHERE page_id % 7 = 0",
     "lookup_func": f"{_PARTS} SELECT script_id, CAST(seq AS INTEGER) AS seq, lib, version FROM hits",
     "match_prune": f"{_PARTS} SELECT script_id, CAST(seq AS INTEGER) AS seq, name, lib, version FROM pruned",
-    "match_file_shortcircuit": f"{_PARTS} SELECT script_id, CAST(seq AS INTEGER) AS seq, lib, version FROM pruned WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_partkey % 3 = 0)",
+    "match_file_shortcircuit": f"{_PARTS} SELECT script_id, CAST(seq AS INTEGER) AS seq, lib, version FROM pruned WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_partkey % 97 = 0)",
     "match_nested_result": f"{_PARTS} SELECT p_partkey AS script_id, CAST(0 AS BIGINT) AS n_whole, count(DISTINCT seq) AS n_functions, count(lib) AS n_libs FROM part LEFT JOIN pruned ON script_id = p_partkey GROUP BY 1",
-    "report_lines": f"{_PARTS} SELECT script_id, 'function' || chr(9) || '1:' || CASE name WHEN 'f' THEN 0 ELSE 37 + len(CAST(p_size AS VARCHAR)) - 1 END || '-1:' || CASE name WHEN 'f' THEN 87 + 2 * len(CAST(p_size AS VARCHAR)) - 2 ELSE 77 + 2 * len(CAST(p_size AS VARCHAR)) - 2 END || chr(9) || name || chr(9) || lib || '@' || version AS line FROM pruned",
+    "report_lines": f"{_PARTS} SELECT script_id, 'function' || chr(9) || '1:' || CASE name WHEN 'f' THEN 0 ELSE 35 + len(CAST(p_size AS VARCHAR)) END || '-1:' || (CASE name WHEN 'f' THEN 87 ELSE 77 END + 2 * len(CAST(p_size AS VARCHAR))) || chr(9) || name || chr(9) || lib || '@' || version AS line FROM pruned",
     "bloom_bits": f"WITH {_FUNCS}, n AS (SELECT greatest(1, ceil(count(*) * 10 / 8))::HUGEINT AS bytes FROM funcs), g AS (SELECT DISTINCT d AS digest FROM funcs) SELECT digest, CAST(i AS INTEGER) AS i, CAST((({_WORD.format(1)} + i * {_WORD.format(17)}) % 18446744073709551616::HUGEINT) % (bytes * 8) AS BIGINT) AS bit FROM g, n, range(0, 7) t(i)",
 }
