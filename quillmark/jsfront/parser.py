@@ -108,7 +108,7 @@ class Parser(Lexer):
                 text, at = self.source[self.start + 1 : self.end - 1], self.start
                 st = self.statement()
                 if st.t == "ExpressionStatement" and st.expression.t == "StringLiteral" and st.expression.s == at:
-                    node.directives.append(Node("Directive", st.s, st.e, value=text))
+                    node.directives.append(Node("Directive", st.s, st.e, value=cook(text)))
                     continue
             else:
                 st = self.statement()
