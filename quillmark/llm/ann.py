@@ -21,8 +21,11 @@ SAMPLE = 20_000
 MAX_LISTS, PARTS, CODES = 4_096, 16, 256
 #: Share of true neighbours in the sample that probed lists must hold.
 TARGET = 0.97
-#: Vectors and queries of a block at most, and candidates of a query and block that are reranked exactly.
-BLOCK_VECTORS, BLOCK_QUERIES, RERANK = 2_048, 4_096, 192
+#: Into about how many blocks vectors are dealt by their lists, and queries of a block at most. A query's rows after the
+#: search grow with the number of blocks it probes, and tasks with blocks times blocks of queries.
+BLOCKS, BLOCK_QUERIES = 8, 4_096
+#: Vectors that are looked at together, and candidates of a query among them that are reranked exactly.
+CHUNK_VECTORS, RERANK = 2_048, 192
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -110,7 +113,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     Nearness is the largest inner product in double precision; ties go to the smaller id. Equal vectors form a class
     that is indexed once with its k + 1 smallest ids, which are all that any answer can name; so one very common vector
     is neither gathered nor scored again. The index is fitted on up to 20,000 classes chosen by a hash; every class is
-    indexed. Blocks of lists meet blocks of queries; the driver gets the sample and one count a list.
+    indexed. Blocks of lists stream past blocks of queries, which keep their best; so memory is bounded by the queries of
+    a block. The driver gets the sample and one count a list.
 
     Vectors that are null, all zero, of another length than most, or hold null or non-finite components take no part,
     nor do rows without id; such queries have no rows. Repeated rows (same id and vector) count once. An empty table
@@ -151,10 +155,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     placed = ws.keep(classes.mapInPandas(place, "cid long, v binary, list long, code binary"))
     sizes = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
     # Lists are dealt to blocks in order; a long list fills blocks of its own.
+    room = math.ceil(n / BLOCKS)
     block_of, pieces, blocks, filled = {}, {}, 0, 0
     for name in sorted(sizes):
-        pieces[name] = max(1, math.ceil(sizes[name] / BLOCK_VECTORS))
-        if filled and (filled + sizes[name] > BLOCK_VECTORS or pieces[name] > 1):
+        pieces[name] = max(1, math.ceil(sizes[name] / room))
+        if filled and (filled + sizes[name] > room or pieces[name] > 1):
             blocks, filled = blocks + 1, 0
         block_of[name] = blocks
         if pieces[name] > 1:
@@ -177,15 +182,43 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     held = placed.withColumn("block", (F.element_at(starts, F.col("list")) + F.pmod(F.xxhash64("cid"), F.element_at(many, F.col("list")))).cast("int"))
     held = held.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
 
-    def meet(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        if not len(have) or not len(want):
-            return pd.DataFrame({"cid": [], "near": [], "score": []}).astype({"cid": "int64", "near": "int64"})
-        x, q = (np.stack([np.frombuffer(v, "<f8") for v in d["v"]]) for d in (have, want))
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in have["code"]])
-        found = list(shared.value.search(have["cid"].to_numpy(), have["list"].to_numpy(), codes, x, q, k + 1))
-        return pd.DataFrame({"cid": np.repeat(want["cid"].to_numpy(), [len(i) for i, _ in found]), "near": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spot, cids, vectors, q, best = None, [], [], None, []
 
-    met = held.groupBy("block", "qb").cogroup(to.groupBy("block", "qb")).applyInPandas(meet, "cid long, near long, score double")
+        def found() -> pd.DataFrame:
+            return pd.DataFrame({"cid": np.repeat(np.concatenate(cids), [len(i) for i, _ in best]), "near": np.concatenate([i for i, _ in best]), "score": np.concatenate([s for _, s in best])})
+
+        for b in batches:
+            for (block, qb, have), part in b.groupby(["block", "qb", "have"], sort=False):
+                if (block, qb) != spot:
+                    if best:
+                        yield found()
+                    spot, cids, vectors, q, best = (block, qb), [], [], None, []
+                if not have:
+                    cids.append(part["cid"].to_numpy(np.int64))
+                    vectors.append(np.stack([np.frombuffer(v, "<f8") for v in part["v"]]))
+                    continue
+                if not cids:
+                    continue
+                if q is None:
+                    q = np.concatenate(vectors)
+                    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+                for at in range(0, len(part), CHUNK_VECTORS):
+                    chunk = part[at : at + CHUNK_VECTORS]
+                    x = np.stack([np.frombuffer(v, "<f8") for v in chunk["v"]])
+                    codes = np.stack([np.frombuffer(c, np.uint8) for c in chunk["code"]])
+                    for i, (ids_, scores) in enumerate(shared.value.search(chunk["cid"].to_numpy(np.int64), chunk["list"].to_numpy(np.int64), codes, x, q, k + 1)):
+                        if len(ids_):
+                            near, score = np.concatenate([best[i][0], ids_]), np.concatenate([best[i][1], scores])
+                            top = np.lexsort((near, -score))[: k + 1]
+                            best[i] = (near[top], score[top])
+        if best:
+            yield found()
+
+    both = to.select("block", "qb", F.lit(False).alias("have"), "cid", "v", F.lit(-1).cast("long").alias("list"), F.lit(None).cast("binary").alias("code"))
+    both = both.unionByName(held.select("block", "qb", F.lit(True).alias("have"), "cid", "v", "list", "code"))
+    both = both.repartition(min(4 * (blocks + 1) * q_blocks, 20_000), "block", "qb").sortWithinPartitions("block", "qb", "have")
+    met = both.mapInPandas(meet, "cid long, near long, score double")
     order = [F.desc("score"), F.asc("near")]
     best = met.withColumn("_rn", F.row_number().over(Window.partitionBy("cid").orderBy(*order))).filter(F.col("_rn") <= k + 1)
     named = best.join(ids.select(F.col("cid").alias("near"), "ids"), "near").select("cid", "score", F.explode("ids").alias("id"))
