@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 500_000
 #: Into how many parts the rows of one group are dealt before its totals are formed.
 SALTS = 256
+#: Rows and bytes of a batch that goes to a Python worker, at most.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -47,10 +49,19 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches to Python workers small, as texts may be long: an executor holds several copies of one for each
+    core, outside its heap. Rows and bytes that the session sets itself stand."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 class Workspace:
     """Working tables of one operator call; ``drop`` deletes those that no later read needs."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark, self.root, self.n = spark, new_path(spark, label), 0
         self.paths: dict[int, str] = {}
 
