@@ -162,6 +162,40 @@ def test_urls(spark):
     assert found[1].host == found[3].path == "" and found[4].host == "a.org" and found[4].rule is None and found[5].verdict == "block"
 
 
+def test_url_counts_are_exact(spark, monkeypatch):
+    """Ratios of URLs with far more distinct grams than 2^20 slots take without collisions, against plain dictionaries."""
+    draw = random.Random(5)
+    urls = [f"http://{draw.choice(['a.org', 'b.com', 'c.net'])}/{draw.choice(['de', 'fr'])}/" + "".join(chr(draw.randrange(33, 123)) for _ in range(60)) for _ in range(2000)]
+    pages = spark.createDataFrame([*enumerate(urls), (-1, None), (-2, "")], "page_id long, url string")
+    rules = [("org/", "allow"), ("com/", "block")]
+    held = {r.url for r in pages.filter("pmod(xxhash64(url), 4) = 3").collect()}
+    sums = {}
+    for u in set(urls) - held:
+        for own in [sums.setdefault(u[7:12], {})] if u[7:12] in ("a.org", "b.com") else []:
+            raw = u.encode() + b"\0"
+            for i in range(len(raw)):
+                for k in range(min(i, 5) + 1):
+                    for key in ((0, raw[i - k : i]), (1, raw[i - k : i + 1])):
+                        own[key] = own.get(key, 0) + 1
+
+    def rate(own, raw):
+        logs = []
+        for i in range(len(raw)):
+            p = 1 / 256
+            for k in range(min(i, 5) + 1):
+                p = min((own.get((1, raw[i - k : i + 1]), 0) + 2 * p) / (own.get((0, raw[i - k : i]), 0) + 2), 1)
+            logs.append(np.log(p))
+        return np.mean(logs)
+
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert len(got) == len(urls) + 2 and got[-1].ratio == got[-2].ratio == 0
+    for i in range(0, len(urls), 10):
+        raw = urls[i].encode() + b"\0"
+        assert abs(got[i].ratio - (rate(sums["a.org"], raw) - rate(sums["b.com"], raw))) < 1e-6
+    monkeypatch.setattr(url_filter, "HEAD_GRAMS", 500)
+    assert {r.page_id: r for r in url_filter.filter_urls(pages, rules).collect()} == got
+
+
 def test_warc_odd(spark):
     rows = [(1, "http://a/", "x" * 200), (2, None, "x" * 200), (3, "a\nb", "y"), (4, "u", "y"), (5, "u", None), (None, "u", "x" * 200), (1, "http://a/", "x" * 200), (7, "é", "\r\n\r\nWARC/1.1" * 20)]
     got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
