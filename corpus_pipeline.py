@@ -16,18 +16,26 @@ from quillmark.llm.minhash import near_duplicates
 from quillmark.llm.packing import pack_documents
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``dropped``, which is broadcast when a count shows that it is small.
-    Of rows that share a doc_id one stays."""
-    ws = Workspace(docs.sparkSession, "dropped")
-    dropped = ws.keep(dropped.select("doc_id").filter("doc_id IS NOT NULL").distinct())
-    left = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*docs.columns)
-    twice = ws.keep(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return left
-    sent = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    again = left.join(sent, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(sent, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+def keyed(docs: DataFrame, ws: Workspace, nulls_last: bool) -> DataFrame:
+    """``docs`` with _row, a number that no two rows share and that orders them as doc_id does, so that a decision holds
+    for its own row. It is doc_id itself if a count shows none that is null or shared; else rows are numbered by doc_id,
+    null ones first or last, and by the digest of their text."""
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    fixed = ws.keep(docs.withColumn("_at", F.monotonically_increasing_id()))
+    by = F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first()
+    narrow = fixed.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"), "_at")
+    numbers = ws.keep(narrow.orderBy(by, "_digest", "_at").select("_at", F.monotonically_increasing_id().alias("_row")))
+    out = ws.keep(fixed.join(F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers, "_at").select(*docs.columns, "_row"))
+    ws.drop(fixed, numbers)
+    return out
+
+
+def without(docs: DataFrame, dropped: DataFrame, ws: Workspace) -> DataFrame:
+    """``docs`` less the rows whose _row is in ``dropped``, which is broadcast when a count shows that it is small."""
+    dropped = ws.keep(dropped.select("_row"))
+    left = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "_row", "left_anti")
+    return left.select(*[c for c in docs.columns if c != "_row"])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +45,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts that with the largest doc_id stays."""
-    return without(docs, exact_dedup(docs).filter("NOT kept"))
+    """Of documents with equal texts that with the largest doc_id stays, one without id only if none has any. Documents
+    that only share an id are not copies."""
+    ws = Workspace(spark, "exact_stage")
+    rows = keyed(docs, ws, nulls_last=False)
+    return without(rows, exact_dedup(rows, id_col="_row").filter("NOT kept"), ws)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more connect that with the smallest doc_id stays."""
-    return without(docs, near_duplicates(docs, percent=80).filter("NOT kept"))
+    """Of documents that links of 0.8 or more connect that with the smallest doc_id stays, one without id only if none
+    has any. Documents that only share an id are not linked by it."""
+    ws = Workspace(spark, "near_stage")
+    rows = keyed(docs, ws, nulls_last=True)
+    return without(rows, near_duplicates(rows, percent=80, id_col="_row").filter("NOT kept"), ws)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,3 +285,21 @@ def test_pipeline(spark):
                 x, y = sorted((root(a), root(b)))
                 of[y] = x
     assert set(got.doc_id) == {i for i in ids if root(i) == i}
+
+
+def test_pipeline_ids(spark, monkeypatch):
+    """Rows with null or shared ids go by their own texts: copies without id go, texts that only share an id stay."""
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in (0, 59)]
+    rows = [(None, "One text"), (1, "one text"), (None, "alone"), (None, "alone"), (2, "first of two"), (2, "second of two"), (3, "second of two"), (4, "repeated"), (4, "repeated"), (5, near[0]), (5, "clean"), (None, near[1]), (6, None)]
+    docs = spark.createDataFrame([(t, i, "en", "s", 1, "x", "y", "z") for i, t in rows], DOCS)
+    for sent in (corpus_pipeline.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", sent)
+        left = corpus_pipeline.exact_stage(spark, docs, SF)
+        want = [(1, "one text"), (None, "alone"), (2, "first of two"), (3, "second of two"), (4, "repeated"), (5, near[0]), (5, "clean"), (None, near[1]), (6, None)]
+        assert left.columns == docs.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in left.collect())
+        left = corpus_pipeline.near_stage(spark, left, SF)
+        want.remove((None, near[1]))
+        assert left.columns == docs.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in left.collect())
+    both = spark.createDataFrame([(near[0], None, "en", "s", 1, "x", "y", "z"), (near[1], None, "en", "s", 1, "x", "y", "z")], DOCS)
+    assert corpus_pipeline.near_stage(spark, both, SF).count() == 1
