@@ -5,13 +5,14 @@ Each stage works on all that the one before kept. Stages but the last return the
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.bpe import tokenizer_path
 from quillmark.llm.common import BROADCAST_ROWS, Workspace, read_table
 from quillmark.llm.exact_dedup import exact_dedup
-from quillmark.llm.language_id import UNDETERMINED, identify, train
+from quillmark.llm.language_id import UNDETERMINED, has_letter, identify, train
 from quillmark.llm.minhash import near_duplicates
 from quillmark.llm.packing import pack_documents
 
@@ -39,9 +40,15 @@ def without(docs: DataFrame, dropped: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be determined go: null text, and text without letters."""
+    """Documents whose language can't be determined go: null text, and text without letters; so also where no document
+    has a language to learn from. No prediction of the model rejects a document."""
+
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return pd.Series([has_letter(t) for t in texts], dtype=bool)
+
     model = train(docs)
-    return identify(docs, model).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns) if model.langs else docs
+    return identify(docs, model).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns) if model.langs else docs.filter(lettered("text"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,3 +303,11 @@ def test_pipeline_ids(spark, monkeypatch):
         assert left.columns == docs.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in left.collect())
     both = spark.createDataFrame([(near[0], None, "en", "s", 1, "x", "y", "z"), (near[1], None, "en", "s", 1, "x", "y", "z")], DOCS)
     assert corpus_pipeline.near_stage(spark, both, SF).count() == 1
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_pipeline_language(spark, lang):
+    """Null and letterless texts go whether or not any document has a language."""
+    docs = spark.createDataFrame([(t, i, lang, "s", 1, "x", "y", "z") for t, i in ROWS], DOCS)
+    left = corpus_pipeline.language_stage(spark, docs, SF)
+    assert left.columns == docs.columns and sorted(str(r.text) for r in left.collect()) == sorted(t for t, _ in ROWS if language_id.has_letter(t))
