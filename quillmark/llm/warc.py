@@ -150,13 +150,13 @@ def read_index(uri: str) -> list[tuple[int, int, str, str]]:
 
 
 def plan_records(pages: DataFrame, ws: Workspace, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, payload_digest, payload_bytes, refers_to): of rows with equal payloads of at least 100 bytes the
-    smallest id is the response, which refers_to names for the others."""
+    """(id, digest, refers_to) of revisits: of rows with equal payloads of at least 100 bytes the smallest id is the
+    response, which refers_to names for the others. An id may have other payloads too, so the digest belongs to the key."""
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = ws.keep(pages.select(F.col(id_col).alias("id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes")))
     large = with_group_totals(rows.filter(F.col("bytes") >= REVISIT_BYTES), ["digest"], "id", first=("min", "id"))
     small = rows.filter(F.col("bytes") < REVISIT_BYTES).withColumn("first", F.col("id"))
-    return large.unionByName(small).filter("id <> first").select("id", F.col("first").alias("refers_to")).distinct()
+    return large.unionByName(small).filter("id <> first").select("id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, ws: Workspace, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -164,7 +164,8 @@ def write_archives(pages: DataFrame, folder: str, ws: Workspace, id_col: str = "
     payload, and return (archive). Pages aren't shuffled unless the revisits are too many to be broadcast."""
     revisits = ws.keep(plan_records(pages, ws, id_col, html_col))
     revisits = F.broadcast(revisits) if revisits.count() <= 500_000 else revisits
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).join(revisits, "id", "left").withColumn("task", F.spark_partition_id())
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(revisits, ["id", "digest"], "left").withColumn("task", F.spark_partition_id())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, size, names = 0, 0, []
@@ -178,11 +179,11 @@ def write_archives(pages: DataFrame, folder: str, ws: Workspace, id_col: str = "
             return name
 
         for batch in batches:
-            for key, url, payload, refers, task in zip(batch["id"], batch["url"], batch["payload"], batch["refers_to"], batch["task"], strict=True):
+            for key, url, payload, digest, refers, task in zip(batch["id"], batch["url"], batch["payload"], batch["digest"], batch["refers_to"], batch["task"], strict=True):
                 if packer is None:
                     packer, held, size = zlib.compressobj(1, zlib.DEFLATED, 31), io.BytesIO(), 0
                 refers, key = None if pd.isna(refers) else int(refers), None if pd.isna(key) else int(key)
-                held.write(packer.compress(record(key, url, payload, hashlib.sha256(payload).hexdigest(), refers, refers is not None)))
+                held.write(packer.compress(record(key, url, payload, digest, refers, refers is not None)))
                 size += len(payload)
                 if size >= ARCHIVE_BYTES:
                     names.append(close())

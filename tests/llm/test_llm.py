@@ -203,6 +203,14 @@ def test_warc_odd(spark):
     assert all(r.payload_digest == hashlib.sha256(bytes(r.payload)).hexdigest() for r in got if r.payload is not None)
 
 
+def test_warc_shared_ids(spark):
+    """Rows that share an id but not the payload: each is a revisit of its own payload, or a response."""
+    rows = [(1, "a" * 200), (2, "b" * 200), (5, "a" * 200), (5, "b" * 200), (5, "c" * 200), (5, "d")]
+    got = warc.archive_pages(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    sha = {hashlib.sha256(h.encode()).hexdigest(): h[0] for _, h in rows}
+    assert sorted((r.page_id, sha[r.payload_digest], r.record_type, r.refers_to or 0) for r in got) == [(1, "a", "response", 0), (2, "b", "response", 0), (5, "a", "revisit", 1), (5, "b", "revisit", 2), (5, "c", "response", 0), (5, "d", "response", 0)]
+
+
 def test_near_odd(spark, odd):
     got = minhash.near_duplicates(odd, 85).collect()
     assert len(got) == len(ROWS)
