@@ -170,9 +170,9 @@ def _threshold(rated: DataFrame) -> float:
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, ratio, verdict.
 
-    Models learn from all URLs that a rule decides, hosts and paths lower-cased as given; a rule's verdict always
-    stands. A hash of the url sets a quarter of them apart, by which the threshold is set. Null and malformed URLs
-    have empty host and path; a null one has ratio 0, and the verdict the threshold gives it. Repeated rows get equal
+    Models learn from three quarters of the URLs that a rule decides, as given; a rule's verdict always stands. A hash
+    of the url sets the other quarter apart: it is never counted and sets the threshold. Null and malformed URLs have
+    empty host and path; a null one has ratio 0, and the verdict the threshold gives it. Repeated rows get equal
     verdicts, a null id is passed on, an empty table gives an empty result. Counts are exact, in tables that grow with
     the number of distinct grams; they are summed before they are shuffled, so no host is gathered in a task.
     """
