@@ -19,6 +19,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: How many words a worker remembers before it starts afresh, and how long they are at most.
 MEMO_WORDS, MEMO_CHARS = 250_000, 64
+#: Words of texts of so many characters are taken one by one, not as a list.
+LONG_TEXT = 1 << 20
 
 
 def read_pieces(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -53,6 +55,7 @@ class UnigramCounter:
         for p, s in score.items():
             self.auto.add_word(p, (len(p), s))
         self.auto.make_automaton()
+        self.longest = max(map(len, score), default=1)
         self.single = {p for p in score if len(p) == 1}
         # Texts may be cut wherever no piece spans the cut: before a mark that follows another character, and before a
         # line feed, if no piece has such a place.
@@ -62,26 +65,33 @@ class UnigramCounter:
         self.memo: dict[str, int] = {}
 
     def best(self, text: str) -> tuple[float, int]:
-        """Score and number of tokens of the best way through ``text``."""
+        """Score and number of tokens of the best way through ``text``. Matches come by their ends, at an end from the
+        farthest start to the nearest, as ties ask; only places within the longest piece of here are held."""
         n = len(text)
         if not n:
             return 0.0, 0
-        starts: list[list] = [[] for _ in range(n)]
-        for end, (size, score) in self.auto.iter(text):
-            starts[end + 1 - size].append((size, score))
         none = -math.inf
-        score_at, count_at, unk_at = [none] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        room = min(n, self.longest) + 1
+        score_at, count_at, unk_at = [none] * room, [0] * room, [False] * room
         score_at[0] = 0.0
-        single, bytes_known = self.single, self.bytes_known
+        single, bytes_known, unknown = self.single, self.bytes_known, self.unknown
+        matches = self.auto.iter(text)
+        end, match = next(matches, (n, None))
         for i in range(n):
-            here, count = score_at[i], count_at[i]
-            for size, s in sorted(starts[i]):
-                if here + s > score_at[i + size]:
-                    score_at[i + size], count_at[i + size], unk_at[i + size] = here + s, count + 1, False
-            if text[i] not in single and here + self.unknown > score_at[i + 1]:
-                more = len(text[i].encode("utf-8", "surrogatepass")) if bytes_known else 0 if unk_at[i] else 1
-                score_at[i + 1], count_at[i + 1], unk_at[i + 1] = here + self.unknown, count + more, True
-        return score_at[n], count_at[n]
+            best, count, unk = none, 0, False
+            while end == i:
+                size, s = match
+                at = (i + 1 - size) % room
+                if score_at[at] + s > best:
+                    best, count = score_at[at] + s, count_at[at] + 1
+                end, match = next(matches, (n, None))
+            if text[i] not in single and score_at[i % room] + unknown > best:
+                at = i % room
+                best, unk = score_at[at] + unknown, True
+                count = count_at[at] + (len(text[i].encode("utf-8", "surrogatepass")) if bytes_known else 0 if unk_at[at] else 1)
+            at = (i + 1) % room
+            score_at[at], count_at[at], unk_at[at] = best, count, unk
+        return score_at[n % room], count_at[n % room]
 
     def _segment(self, segment: str) -> int:
         n = self.best(segment)[1]
@@ -99,8 +109,8 @@ class UnigramCounter:
         if not self.cuts or not self.bytes_known:  # adjacent unknown characters may be one token across a cut
             return self.best(text)[1]
         memo = self.memo
-        parts = self.split.findall(text)
-        return sum([memo.get(p) or self._segment(p) for p in parts])
+        parts = self.split.findall(text) if len(text) < LONG_TEXT else (m.group() for m in self.split.finditer(text))
+        return sum(memo.get(p) or self._segment(p) for p in parts)
 
 
 _COUNTERS: dict[str, UnigramCounter] = {}
@@ -117,7 +127,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     ``path`` names a sentencepiece model file whose pieces and scores are taken as a unigram vocabulary. Null and
     empty text have 0 tokens; repeated rows are counted each; a null id is passed on; an empty table gives an empty
-    result; other columns are ignored. Words are counted once per worker as long as its memo has them; where the
+    result; other columns are ignored. A text of any length, with or without spaces, costs its own copies and a window as
+    wide as the longest piece. Words are counted once per worker as long as its memo has them; where the
     vocabulary has pieces that span words, whole texts go through the Viterbi pass.
     """
 
