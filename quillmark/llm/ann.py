@@ -21,11 +21,12 @@ SAMPLE = 20_000
 MAX_LISTS, PARTS, CODES = 4_096, 16, 256
 #: Share of true neighbours in the sample that probed lists must hold.
 TARGET = 0.97
-#: Into about how many blocks vectors are dealt by their lists, and queries of a block at most. A query's rows after the
-#: search grow with the number of blocks it probes, and tasks with blocks times blocks of queries.
-BLOCKS, BLOCK_QUERIES = 8, 4_096
-#: Vectors that are looked at together, and candidates of a query among them that are reranked exactly.
-CHUNK_VECTORS, RERANK = 2_048, 192
+#: Vectors of a list that a task holds at most; longer lists are cut into pieces.
+PIECE = 8_192
+#: Queries that are compared with a piece together, and candidates of a query in a piece that are reranked exactly.
+TOGETHER, RERANK = 128, 64
+#: Vectors of the sample that give a query its first candidates, at most, and an eighth of the sample at most.
+FIRST = 2_048
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -46,9 +47,12 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """What is fitted: centroids, codebooks of residuals, and how many lists a query probes."""
+    """What is fitted: centroids, codebooks of residuals, and how many lists a query probes; and some
+    vectors of the sample, where queries start."""
 
-    def __init__(self, sample: np.ndarray, vectors: int, k: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, cids: np.ndarray, vectors: int, k: int, seed: int = 7):
+        first = min(len(sample), max(k + 1, min(FIRST, len(sample) // 8)))
+        self.first, self.first_cids = sample[:first], cids[:first]
         lists = max(1, min(MAX_LISTS, round(math.sqrt(vectors)), len(sample)))
         self.centres = _kmeans(sample, lists, 8, seed)
         dim = sample.shape[1]
@@ -74,37 +78,51 @@ class Index:
         rest = x - self.centres[own]
         return np.stack([_nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], axis=1).astype(np.uint8)
 
-    def probed(self, queries: np.ndarray) -> np.ndarray:
-        """Which lists each query probes, as a boolean matrix."""
-        near = queries @ self.centres.T
-        out = np.zeros(near.shape, bool)
-        np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, : self.probes], True, axis=1)
-        return out
-
-    def search(self, ids: np.ndarray, own: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the k best of these vectors within its probed lists: ids and exact inner products."""
-        probed, near = self.probed(queries), queries @ self.centres.T
-        at = codes.astype(np.int64) + np.arange(codes.shape[1])[None, :] * CODES
-        table = np.zeros((codes.shape[1], CODES))
-        for q, lists, coarse in zip(queries, probed, near, strict=True):
-            hit = np.flatnonzero(lists[own])
-            if len(hit) > RERANK:
-                for i, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books, strict=False)):
-                    table[i, : len(book)] = book @ q[a:b]
-                rough = coarse[own[hit]] + table.ravel()[at[hit]].sum(axis=1)
-                hit = hit[np.argpartition(-rough, RERANK)[:RERANK]]
-            score = (x[hit] * q).sum(axis=1)
-            best = np.lexsort((ids[hit], -score))[:k]
-            yield ids[hit][best], score[best]
+    def probed(self, queries: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """Which lists each query probes: the nearest ones, as many as were calibrated, and on until they hold ``least`` ids."""
+        order = np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")
+        need = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+        return [o[:n] for o, n in zip(order, np.maximum(need, self.probes), strict=True)]
+
+    def search(self, where: int, codes: np.ndarray, x: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the RERANK best vectors of a piece of list ``where``, by distance tables of its own over their
+        codes, and their exact inner products."""
+        rough = np.repeat((queries @ self.centres[where])[:, None], len(x), axis=1)
+        for i, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books, strict=False)):
+            rough += np.take(queries[:, a:b] @ book.T, codes[:, i], axis=1)
+        if len(x) > RERANK:
+            hit = np.argpartition(-rough, RERANK, axis=1)[:, :RERANK]
+        else:
+            hit = np.tile(np.arange(len(x)), (len(queries), 1))
+        return hit, exact(x[hit], queries[:, None, :])
+
+
+def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products, summed in the same order wherever they are formed."""
+    return (x * y).sum(axis=-1)
+
+
+def start(index: Index, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the k best of the first vectors of the sample: their places, and exact inner products."""
+    k = min(k, len(index.first))
+    hit = np.argpartition(-(queries @ index.first.T), k - 1, axis=1)[:, :k]
+    return hit, exact(index.first[hit], queries[:, None, :])
+
+
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each row, or less where it has fewer."""
+    return np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+
+
+def _matrix(v) -> np.ndarray:
+    return np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of rows whose vector takes part: not null, of the most common length, no null, NaN or infinity, not all zero."""
+    """(id, v) of rows whose vector takes part: with an id, not null, no null, NaN or infinity in it, not all zero."""
     v = F.col(vec_col)
     sound = v.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.filter(F.size("v") == (sizes[0].d if sizes else -1))
+    return vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -113,15 +131,27 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     Nearness is the largest inner product in double precision; ties go to the smaller id. Equal vectors form a class
     that is indexed once with its k + 1 smallest ids, which are all that any answer can name; so one very common vector
     is neither gathered nor scored again. The index is fitted on up to 20,000 classes chosen by a hash; every class is
-    indexed. Blocks of lists stream past blocks of queries, which keep their best; so memory is bounded by the queries of
-    a block. The driver gets the sample and one count a list.
-
-    Vectors that are null, all zero, of another length than most, or hold null or non-finite components take no part,
-    nor do rows without id; such queries have no rows. Repeated rows (same id and vector) count once. An empty table
-    gives an empty result. Other columns are ignored.
+    indexed. A query goes to the lists it probes, and on to further ones until they hold k other ids, so each query gets
+    k rows if the table has as many others. Lists are cut into pieces of at most 8,192 vectors; a task holds a piece, and
+    its queries stream past. Some vectors of the sample, which are sent out with the index, give each query its first
+    candidates, and pieces return only what isn't worse than these. The driver gets the sample and one count a list.
+
+    Vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows without id; such
+    queries have no rows. Inner products need equal lengths: each length is a table of its own, with an index of its
+    own. Repeated rows (same id and vector) count once. An empty table gives an empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
+    rows = usable(vectors, id_col, vec_col)
+    out = spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    for r in sorted(rows.select(F.size("v").alias("d")).distinct().collect()):
+        out = out.unionByName(_nearest_of(rows.filter(F.size("v") == r.d), is_query, k, ws))
+    return out
+
+
+def _nearest_of(vectors: DataFrame, is_query, k: int, ws: Workspace) -> DataFrame:
+    """The same, for rows (id, v) of one length."""
+    spark = vectors.sparkSession
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -129,7 +159,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
             yield pd.DataFrame({"id": b["id"], "q": b["q"], "v": raw, "key": [hashlib.blake2b(r, digest_size=16).digest() for r in raw]})
 
     schema = "id long, q boolean, v binary, key binary"
-    rows = ws.keep(usable(vectors, id_col, vec_col).withColumn("q", is_query(F.col("id"))).mapInPandas(digest, schema))
+    rows = ws.keep(vectors.withColumn("q", is_query(F.col("id"))).mapInPandas(digest, schema))
     narrow = rows.select("key", "id").distinct().withColumn("_part", salt(F.col("id")))
     first = narrow.withColumn("_rn", F.row_number().over(Window.partitionBy("key", "_part").orderBy("id"))).filter(F.col("_rn") <= k + 1)
     first = first.withColumn("_rn", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("_rn") <= k + 1)
@@ -141,84 +171,71 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     asked = ws.keep(rows.filter("q").select("key", F.col("id").alias("query_id")).distinct())
     if not n or asked.isEmpty():
         return spark.createDataFrame([], empty)
-    sample = classes.select("v", F.xxhash64("key").alias("h"), "cid").orderBy("h", "cid").limit(SAMPLE).select("v").collect()
-    index = Index(np.stack([np.frombuffer(r.v, "<f8") for r in sample]), n, k)
+    sample = classes.select("v", F.xxhash64("key").alias("h"), "cid").orderBy("h", "cid").limit(SAMPLE).collect()
+    index = Index(_matrix([r.v for r in sample]), np.array([r.cid for r in sample]), n, k)
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.stack([np.frombuffer(v, "<f8") for v in b["v"]])
+                x = _matrix(b["v"])
                 own = _nearest(x, shared.value.centres)
                 yield pd.DataFrame({"cid": b["cid"], "v": b["v"], "list": own, "code": [c.tobytes() for c in shared.value.encode(x, own)]})
 
     placed = ws.keep(classes.mapInPandas(place, "cid long, v binary, list long, code binary"))
-    sizes = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
-    # Lists are dealt to blocks in order; a long list fills blocks of its own.
-    room = math.ceil(n / BLOCKS)
-    block_of, pieces, blocks, filled = {}, {}, 0, 0
-    for name in sorted(sizes):
-        pieces[name] = max(1, math.ceil(sizes[name] / room))
-        if filled and (filled + sizes[name] > room or pieces[name] > 1):
-            blocks, filled = blocks + 1, 0
-        block_of[name] = blocks
-        if pieces[name] > 1:
-            blocks += pieces[name]
-        else:
-            filled += sizes[name]
-    starts, many = (F.create_map(*[F.lit(x) for name in sizes for x in (name, d[name])]) for d in (block_of, pieces))
+    sizes, held_ids = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres), np.int64)
+    for r in placed.join(ids.select("cid", F.size("ids").alias("m")), "cid").groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m")).collect():
+        sizes[r["list"]], held_ids[r["list"]] = r.n, r.m
+    pieces = np.maximum(1, -(-sizes // PIECE))
     queries = ws.keep(classes.join(asked.select("key").distinct(), "key", "left_semi").select("cid", "v"))
-    q_blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists = [[*range(block_of[i], block_of[i] + pieces[i])] if i in block_of else [] for i in range(len(shared.value.centres))]
+        """Rows of a query for each piece it goes to, with the score to reach, and rows of what it found in the sample."""
         for b in batches:
-            if len(b):
-                probed = shared.value.probed(np.stack([np.frombuffer(v, "<f8") for v in b["v"]]))
-                yield pd.DataFrame({"cid": b["cid"], "v": b["v"], "block": [sorted({x for i in np.flatnonzero(p) for x in lists[i]}) for p in probed]})
-
-    q_block = F.pmod(F.xxhash64("cid"), F.lit(q_blocks))
-    to = queries.mapInPandas(send, "cid long, v binary, block array<int>").select("cid", "v", q_block.alias("qb"), F.explode("block").alias("block"))
-    held = placed.withColumn("block", (F.element_at(starts, F.col("list")) + F.pmod(F.xxhash64("cid"), F.element_at(many, F.col("list")))).cast("int"))
-    held = held.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+            for at in range(0, len(b), TOGETHER):
+                part = b[at : at + TOGETHER]
+                q, cids = _matrix(part["v"]), part["cid"].to_numpy(np.int64)
+                hit, score = start(shared.value, q, k + 1)
+                least = score.min(axis=1) if hit.shape[1] > k else np.full(len(q), -np.inf)
+                lists = shared.value.probed(q, held_ids, k + 1)
+                lists = [x[sizes[x] > 0] for x in lists]
+                where = [(i, name, piece) for i, x in enumerate(lists) for name in x.tolist() for piece in range(pieces[name])]
+                rows = np.array([i for i, _, _ in where], np.int64)
+                yield pd.DataFrame({"cid": cids[rows], "v": part["v"].to_numpy()[rows], "list": [x for _, x, _ in where], "piece": [x for _, _, x in where], "near": -1, "score": least[rows]})
+                yield pd.DataFrame({"cid": np.repeat(cids, hit.shape[1]), "v": None, "list": -1, "piece": -1, "near": shared.value.first_cids[hit].ravel(), "score": score.ravel()})
+
+    sent = ws.keep(queries.mapInPandas(send, "cid long, v binary, list long, piece long, near long, score double"))
+    piece_of = spark.sparkContext.broadcast(pieces)
+
+    @F.pandas_udf("long")
+    def cut(name: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(h.to_numpy() % piece_of.value[name.to_numpy()])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spot, cids, vectors, q, best = None, [], [], None, []
-
-        def found() -> pd.DataFrame:
-            return pd.DataFrame({"cid": np.repeat(np.concatenate(cids), [len(i) for i, _ in best]), "near": np.concatenate([i for i, _ in best]), "score": np.concatenate([s for _, s in best])})
-
+        spot, cids, codes, vectors, x = None, [], [], [], None
         for b in batches:
-            for (block, qb, have), part in b.groupby(["block", "qb", "have"], sort=False):
-                if (block, qb) != spot:
-                    if best:
-                        yield found()
-                    spot, cids, vectors, q, best = (block, qb), [], [], None, []
-                if not have:
-                    cids.append(part["cid"].to_numpy(np.int64))
-                    vectors.append(np.stack([np.frombuffer(v, "<f8") for v in part["v"]]))
+            for (name, piece, asks), part in b.groupby(["list", "piece", "asks"], sort=False):
+                if (name, piece) != spot:
+                    spot, cids, codes, vectors, x = (name, piece), [], [], [], None
+                if not asks:
+                    cids.append(part["cid"].to_numpy(np.int64)), vectors.append(_matrix(part["v"]))
+                    codes.append(np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1))
                     continue
                 if not cids:
                     continue
-                if q is None:
-                    q = np.concatenate(vectors)
-                    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
-                for at in range(0, len(part), CHUNK_VECTORS):
-                    chunk = part[at : at + CHUNK_VECTORS]
-                    x = np.stack([np.frombuffer(v, "<f8") for v in chunk["v"]])
-                    codes = np.stack([np.frombuffer(c, np.uint8) for c in chunk["code"]])
-                    for i, (ids_, scores) in enumerate(shared.value.search(chunk["cid"].to_numpy(np.int64), chunk["list"].to_numpy(np.int64), codes, x, q, k + 1)):
-                        if len(ids_):
-                            near, score = np.concatenate([best[i][0], ids_]), np.concatenate([best[i][1], scores])
-                            top = np.lexsort((near, -score))[: k + 1]
-                            best[i] = (near[top], score[top])
-        if best:
-            yield found()
-
-    both = to.select("block", "qb", F.lit(False).alias("have"), "cid", "v", F.lit(-1).cast("long").alias("list"), F.lit(None).cast("binary").alias("code"))
-    both = both.unionByName(held.select("block", "qb", F.lit(True).alias("have"), "cid", "v", "list", "code"))
-    both = both.repartition(min(4 * (blocks + 1) * q_blocks, 20_000), "block", "qb").sortWithinPartitions("block", "qb", "have")
-    met = both.mapInPandas(meet, "cid long, near long, score double")
+                if x is None:
+                    x, c, known = np.concatenate(vectors), np.concatenate(codes), np.concatenate(cids)
+                for at in range(0, len(part), TOGETHER):
+                    some = part[at : at + TOGETHER]
+                    hit, score = shared.value.search(name, c, x, _matrix(some["v"]))
+                    i, j = np.nonzero(score >= np.maximum(some["score"].to_numpy(), _kth(score, k + 1))[:, None])
+                    yield pd.DataFrame({"cid": some["cid"].to_numpy()[i], "near": known[hit[i, j]], "score": score[i, j]})
+
+    held = placed.withColumn("piece", cut("list", F.shiftrightunsigned(F.xxhash64("cid"), 1)))
+    both = held.select("list", "piece", F.lit(False).alias("asks"), "cid", "v", "code", F.lit(0.0).alias("score"))
+    both = both.unionByName(sent.filter("list >= 0").select("list", "piece", F.lit(True).alias("asks"), "cid", "v", F.lit(None).cast("binary").alias("code"), "score"))
+    both = both.repartition(int(min(max(8, pieces.sum() // 4), 20_000)), "list", "piece").sortWithinPartitions("list", "piece", "asks")
+    met = both.mapInPandas(meet, "cid long, near long, score double").unionByName(sent.filter("list < 0").select("cid", "near", "score")).distinct()
     order = [F.desc("score"), F.asc("near")]
     best = met.withColumn("_rn", F.row_number().over(Window.partitionBy("cid").orderBy(*order))).filter(F.col("_rn") <= k + 1)
     named = best.join(ids.select(F.col("cid").alias("near"), "ids"), "near").select("cid", "score", F.explode("ids").alias("id"))
