@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import BROADCAST_ROWS, Workspace, read_table, salt, with_group_totals
+from quillmark.llm.common import BROADCAST_ROWS, Workspace, read_table, with_group_totals
 from quillmark.llm.components import connected_components
 
 #: Words in a shingle.
@@ -22,6 +22,11 @@ WORDS = 5
 MISS = 1e-6
 #: Bands at most.
 BANDS = 40
+#: Words of 64 bits in the sketch by which pairs are ruled out before their texts are read.
+SKETCH = 16
+#: Members of a bucket that are paired as they are; larger ones are cut first. Rows that a part of a bucket is paired with at
+#: a time, and others that are compared with one reading of a document.
+FEW, PART, OTHERS = 64, 4_096, 512
 _MEMO_WORDS = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -123,8 +128,15 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an even or odd number of the items falls on each of 64 * SKETCH places. Every item that
+    only one of two sets has turns one bit of one sketch, so sketches differ in at most as many bits as sets in items."""
+    odd = np.bincount((items >> np.uint64(7)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, threshold: float, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, set_id, bands) of each row: size and digest of its shingle set, and its band keys."""
+    """(id, n, set_id, bands, sketch) of each row: size and digest of its shingle set, its band keys, and its sketch."""
     rows, bands = banding(threshold)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,12 +145,12 @@ def signatures(docs: DataFrame, threshold: float, words: int = WORDS, id_col: st
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 s = shingle_set(text, words)
                 if len(s):
-                    out.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(superminhash(s, rows * bands), rows, bands)))
+                    out.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(superminhash(s, rows * bands), rows, bands), sketch(s)))
                 else:
-                    out.append((key, 0, None, None))
-            yield pd.DataFrame(out, columns=["id", "n", "set_id", "bands"])
+                    out.append((key, 0, None, None, None))
+            yield pd.DataFrame(out, columns=["id", "n", "set_id", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(sign, "id long, n long, set_id binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(sign, "id long, n long, set_id binary, bands array<long>, sketch array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -147,87 +159,119 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int, ws: Workspace) -> DataFrame:
-    """(lo, hi, linked) of kept pairs (lo, hi), from the full sets of docs (id, text). Only texts in pairs move."""
-    ids = ws.keep(pairs.select(F.col("lo").alias("id")).unionAll(pairs.select(F.col("hi").alias("id"))).distinct())
-    texts = docs.join(_small(ids), "id", "left_semi")
+    """(a, b) of those kept pairs (a, b) that are linked, by the full sets of docs (id, text).
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[int, np.ndarray] = {}
-
-        def of(key: int, text: str) -> np.ndarray:
-            if key not in memo:
-                if len(memo) >= 32:
-                    memo.clear()
-                memo[key] = shingle_set(text, words)
-            return memo[key]
+    Only texts in pairs move: that of b once a pair, that of a once for at most about OTHERS of its pairs, which meet in
+    one place. There one set of a is held, and the others stream past. If several rows share an id, any of them links."""
+    many = ws.keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / OTHERS).cast("int").alias("parts")))
+    dealt = ws.keep(pairs.join(_small(many), "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")))
+    asked = dealt.select("a", "part", F.lit(False).alias("other"), F.col("a").alias("id")).distinct().unionAll(dealt.select("a", "part", F.lit(True), "b"))
+    asked = ws.keep(asked)
+    rows = docs.join(_small(asked), "id").select("a", "part", "other", "id", "text")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "other")
 
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spot, own = None, []
         for batch in batches:
-            linked = []
-            for lo, hi, tl, th in zip(batch["lo"], batch["hi"], batch["text_lo"], batch["text_hi"], strict=True):
-                a, b = of(lo, tl), of(hi, th)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pd.DataFrame({"lo": batch["lo"], "hi": batch["hi"], "linked": linked})
-
-    with_hi = pairs.join(texts.select(F.col("id").alias("hi"), F.col("text").alias("text_hi")), "hi")
-    both = with_hi.join(texts.select(F.col("id").alias("lo"), F.col("text").alias("text_lo")), "lo")
-    return ws.keep(both.select("lo", "hi", "text_lo", "text_hi").mapInPandas(compare, "lo long, hi long, linked boolean"))
-
+            found = []
+            for a, part, other, key, text in zip(batch["a"], batch["part"], batch["other"], batch["id"], batch["text"], strict=True):
+                if (a, part) != spot:
+                    spot, own = (a, part), []
+                s = shingle_set(text, words)
+                if not other:
+                    own.append(s)
+                    continue
+                for x in own:
+                    both = len(np.intersect1d(x, s, assume_unique=True))
+                    if both and 100 * both >= percent * (len(x) + len(s) - both):
+                        found.append((a, key))
+                        break
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-def _leaders(members: DataFrame, many: int) -> DataFrame:
-    """Per bucket, the members that meet most others in all their buckets; parts of a bucket choose first."""
-    if many == 1:
-        best = members.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n", "comp", "most")).alias("b"))
-        return best.select("key", (-F.col("b.minus")).alias("a"), F.col("b.n").alias("na"), F.col("b.comp").alias("ca"), F.col("b.most").alias("ma"))
-    order = [F.desc("met"), F.asc("id")]
-    part = members.withColumn("_part", salt(F.col("id"), 64)).withColumn("_rn", F.row_number().over(Window.partitionBy("key", "_part").orderBy(*order))).filter(F.col("_rn") <= many)
-    best = part.withColumn("_rn", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("_rn") <= many)
-    return best.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("most").alias("ma"))
+    out = ws.keep(rows.mapInPandas(compare, "a long, b long"))
+    ws.drop(many, dealt, asked)
+    return out
 
 
 class Linker:
-    """Compares members of buckets until no comparison can join two components any more."""
+    """Compares members of buckets until no comparison can join two components any more.
+
+    ``sketches`` (id, sketch) are those of the classes' documents, ``docs`` (id, text) all documents."""
 
-    def __init__(self, docs: DataFrame, percent: int, words: int, ws: Workspace):
-        self.docs, self.percent, self.words, self.ws = docs, percent, words, ws
-        self.links = self.tested = self.comps = None
+    def __init__(self, docs: DataFrame, sketches: DataFrame, percent: int, words: int, ws: Workspace):
+        self.docs, self.sketches, self.percent, self.words, self.ws = docs, sketches, percent, words, ws
+        self.links = self.comps = None
 
     def unresolved(self, members: DataFrame) -> DataFrame:
         """Members of buckets that span components, with their component."""
+        members = members.drop("comp")
         placed = members.join(_small(self.comps), "id", "left") if self.comps is not None else members.withColumn("component", F.lit(None).cast("long"))
         placed = self.ws.keep(placed.withColumn("comp", F.coalesce("component", "id")).drop("component"))
         split = self.ws.keep(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key"))
         out = self.ws.keep(placed.join(_small(split), "key", "left_semi"))
-        self.ws.drop(placed)
+        self.ws.drop(placed, split)
         return out
 
-    def round(self, members: DataFrame, leaders: int) -> DataFrame:
-        """Compare some leaders of each bucket with its members of other components. Then all their links in the bucket
-        are known; returned are the members without them. ``most`` bounds what a member can have in common with any."""
-        heads = self.ws.keep(_leaders(members, leaders))
-        total = self.percent * (F.col("n") + F.col("na"))
-        met = members.join(_small(heads), "key").filter((F.col("id") != F.col("a")) & (F.col("comp") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * self.percent) & (F.least("most", "ma") * (100 + self.percent) >= total))
-        pairs = met.select(F.least("id", "a").alias("lo"), F.greatest("id", "a").alias("hi")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(_small(self.tested), ["lo", "hi"], "left_anti")
-        pairs = self.ws.keep(pairs)
-        if not pairs.isEmpty():
-            seen = verify(pairs, self.docs, self.percent, self.words, self.ws)
-            fails = seen.filter("NOT linked").select("lo", "hi")
-            self.tested = self.ws.keep(fails if self.tested is None else self.tested.unionAll(fails))
-            news = seen.filter("linked").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-            if not news.isEmpty():
-                self.links = self.ws.keep(news if self.links is None else self.links.unionAll(news))
-                self.comps = connected_components(self.links, self.ws)
-        return members.join(_small(heads.select("key", F.col("a").alias("id"))), ["key", "id"], "left_anti").drop("comp")
-
-    def finish(self, members: DataFrame) -> None:
-        """Rounds with ever more leaders, until each bucket is within one component: then no pair is left that shares a
-        bucket, could be linked and would join components."""
-        leaders = 1
-        while not (members := self.unresolved(members)).isEmpty():
-            members = self.round(members, leaders)
-            leaders *= 64
+    def _may(self, one: str, two: str) -> Column:
+        """Whether rows of two members can be linked and would join components, as far as their sizes tell. ``most`` bounds
+        what a member can have in common with any other of the bucket."""
+        n, m = F.col(f"{one}.n"), F.col(f"{two}.n")
+        enough = F.least(f"{one}.most", f"{two}.most") * (100 + self.percent) >= self.percent * (n + m)
+        return (F.col(f"{one}.comp") != F.col(f"{two}.comp")) & (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & enough
+
+    def link(self, pairs: DataFrame) -> None:
+        """Verify the pairs (a, b, total), total being the sum of their sizes, and take the links into the components.
+        First, pairs go whose sketches differ more than the sets of linked documents can."""
+        kinds = [self.sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"_{x}")) for x in "ab"]
+        differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        near = pairs.distinct().join(kinds[0], "a").join(kinds[1], "b").filter(differ * (100 + self.percent) <= (100 - self.percent) * F.col("total"))
+        near = self.ws.keep(near.select("a", "b").distinct())
+        if near.isEmpty():
+            return
+        news = verify(near, self.docs, self.percent, self.words, self.ws)
+        self.ws.drop(near)
+        if not news.isEmpty():
+            self.links = self.ws.keep(news if self.links is None else self.links.unionAll(news))
+            self.comps = connected_components(self.links, self.ws)
+
+    def stars(self, members: DataFrame) -> None:
+        """Compare of each bucket the member that meets most others with the rest of it: as many pairs as members."""
+        best = F.max(F.struct("met", (-F.col("id")).alias("minus"), "n", "comp", "most")).alias("b")
+        heads = members.groupBy("key").agg(best).select("key", (-F.col("b.minus")).alias("id"), "b.n", "b.comp", "b.most")
+        heads = self.ws.keep(heads)
+        met = members.alias("y").join(_small(heads).alias("x"), "key").filter((F.col("x.id") != F.col("y.id")) & self._may("x", "y"))
+        self.link(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")))
+
+    def pairs(self, members: DataFrame) -> None:
+        """Compare all members of a bucket that sizes and sketches don't rule out, within the join. Members of a large
+        bucket are dealt to parts, and each part meets copies of all of them, so no task gets a whole bucket."""
+        sized = with_group_totals(members, ["key"], "id", size=("sum", "1L")).withColumn("parts", F.ceil(F.col("size") / PART))
+        sized = self.ws.keep(sized)
+        x = sized.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+        y = sized.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        met = x.alias("x").join(y.alias("y"), ["key", "part"]).filter((F.col("x.id") < F.col("y.id")) & self._may("x", "y"))
+        self.link(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")))
+        self.ws.drop(sized)
+
+    def finish(self, members: DataFrame, banded: DataFrame) -> None:
+        """Compare members of the buckets of rare shingles, ``members``, until each bucket is within one component.
+
+        Small buckets are paired. Large ones are compared as stars first; what still spans components is cut by
+        bands: two linked documents share a rare shingle, and also a band of ``banded`` (key, id), so they share a
+        bucket of both. Members of these are paired."""
+        members = self.unresolved(members)
+        if members.isEmpty():
+            return
+        sized = self.ws.keep(with_group_totals(members, ["key"], "id", size=("sum", "1L")))
+        self.pairs(sized.filter(F.col("size") <= FEW).drop("size"))
+        large = sized.filter(F.col("size") > FEW).drop("size")
+        large = self.unresolved(large)
+        if large.isEmpty():
+            return
+        self.stars(large)
+        large = self.unresolved(large)
+        cut = large.join(banded.select("id", F.col("key").alias("_band")), "id").withColumn("key", F.xxhash64("key", "_band")).drop("_band")
+        self.pairs(self.unresolved(self.ws.keep(cut)))
 
     def rare_buckets(self, ids: DataFrame) -> DataFrame:
         """Buckets by prefix filtering: two documents that could be linked share one of the rarest shingles of each.
@@ -253,21 +297,22 @@ class Linker:
         return self.ws.keep(rows.select("key", "id", "n", F.sum("size").over(own).alias("met"), (F.col("most") - F.col("_rn") + 1).alias("most")))
 
 
-def link_buckets(members: DataFrame, docs: DataFrame, percent: int, words: int, ws: Workspace) -> DataFrame | None:
-    """(id, component) of all ids with a verified link, from members (key, id, n, met, most) of buckets.
+def link_buckets(members: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int, words: int, ws: Workspace) -> DataFrame | None:
+    """(id, component) of all ids with a verified link, from members (key, id, n, met, most) of the bands' buckets.
 
     First the member of each bucket that meets most others is compared with the rest of it: for copies of one text
     these are as many pairs as members. Documents whose buckets still span components, such as those made from one
     template with a good part of their own, are bucketed anew by their rarest shingles, and there compared until no
     pair is left that could join components. Nothing is capped.
     """
-    linker = Linker(docs, percent, words, ws)
+    linker = Linker(docs, sketches, percent, words, ws)
     members = linker.unresolved(members)
     if members.isEmpty():
         return None
-    left = linker.unresolved(linker.round(members, 1))
+    linker.stars(members)
+    left = linker.unresolved(members)
     if not left.isEmpty():
-        linker.finish(linker.rare_buckets(ws.keep(left.select("id").distinct())))
+        linker.finish(linker.rare_buckets(ws.keep(left.select("id").distinct())), left.select("key", "id"))
     return linker.comps
 
 
@@ -279,9 +324,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     signatures; a pair at the threshold shares none with a probability of at most 1e-6. Links are confirmed on full
     sets. Documents with equal sets form a class first, and its smallest id stands for it.
 
-    Null or empty text and text without words have no shingles and are linked with nothing. Rows with equal ids count as one document in linking. Ids
-    are integers; a row with a null id has a null component and isn't kept, nor does it link others. An empty table
-    gives an empty result; other columns are ignored.
+    Null or empty text and text without words have no shingles and are linked with nothing. Rows with
+    equal ids count as one document in linking. Ids are integers; a row with a null id has a null component and isn't
+    kept, nor does it link others. An empty table gives an empty result; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "near")
     own = ws.keep(signatures(docs, percent / 100, words, id_col, text_col))
@@ -289,14 +334,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     empty = own.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("class_id"), F.lit(None).cast("array<long>").alias("bands"))
     classed = with_group_totals(full, ["set_id"], "id", class_id=("min", "id")).select("id", "n", "class_id", F.when(F.col("id") == F.col("class_id"), F.col("bands")).alias("bands"))
     classes = ws.keep(classed.unionByName(empty))
-    ws.drop(own)
     entries = classes.filter("bands IS NOT NULL").select("id", "n", F.explode("bands").alias("key"))
     shared = ws.keep(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     met = ws.keep(entries.join(_small(shared), "key"))
     popular = met.groupBy("id").agg(F.sum("size").alias("met"))
     members = ws.keep(met.select("key", "id", "n").join(popular, "id").select("key", "id", "n", "met", F.col("n").alias("most")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    comps = link_buckets(members, texts, percent, words, ws)
+    sketches = own.filter("sketch IS NOT NULL AND id IS NOT NULL").select("id", "sketch")
+    comps = link_buckets(members, texts, sketches, percent, words, ws)
     out = classes.select("id", "n", "class_id")
     if comps is None:
         out = out.withColumn("component_id", F.col("class_id"))
