@@ -6,6 +6,8 @@ only where that is unset (tests, a laptop). Nothing is cached with localCheckpoi
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,6 +20,8 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 500_000
 #: Into how many parts the rows of one group are dealt before its totals are formed.
 SALTS = 256
+#: Rows of a part that is numbered by one task, about, were they all of one key.
+PART_ROWS = 1_000_000
 #: Rows and bytes of a batch that goes to a Python worker, at most.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
@@ -30,8 +34,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see."""
+    """The folder all executors see. Where none is named, a temporary one is made, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     if not found:
         found = tempfile.mkdtemp(prefix="quillmark-")
         spark.sparkContext.setCheckpointDir(found)
@@ -51,19 +57,31 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep batches to Python workers small, as texts may be long: an executor holds several copies of one for each
-    core, outside its heap. Rows and bytes that the session sets itself stand."""
+    core, outside its heap. Rows and bytes that the session sets itself stand. The settings stay, as results are computed
+    after this returns."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+#: Folders of working tables that this process made.
+_MADE: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all working tables that this process made. Call it once results have been written: they read these tables."""
+    while _MADE:
+        remove(spark, _MADE.pop())
+
+
 class Workspace:
-    """Working tables of one operator call; ``drop`` deletes those that no later read needs."""
+    """Working tables of one operator call; ``drop`` deletes those that no later read needs, ``clean`` the others."""
 
     def __init__(self, spark: SparkSession, label: str):
         bound_batches(spark)
         self.spark, self.root, self.n = spark, new_path(spark, label), 0
         self.paths: dict[int, str] = {}
+        _MADE.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write the table and read it back: cuts lineage, survives lost executors, and forgets the layout of the rows
@@ -103,13 +121,14 @@ def with_group_totals(rows: DataFrame, keys: Sequence[str], by: str, salts: int
     return rows.join(parts, [*keys, "_part"]).drop("_part")
 
 
-def with_rank(rows: DataFrame, key: str, order: Sequence[str], counts: DataFrame | None = None, salts: int = SALTS, out: str = "rank", base_rows: int | None = None) -> DataFrame:
+def with_rank(rows: DataFrame, key: str, order: Sequence[str], counts: DataFrame | None = None, salts: int | None = None, out: str = "rank", base_rows: int | None = None) -> DataFrame:
     """Number the rows of each key gaplessly from 0 without gathering a key in one task.
 
     Rows of a key are dealt to parts by a hash of ``order``; a part is numbered by its own window, and starts where the
     parts before it end. ``counts`` may name a cheaper table with the same key and order columns to count from;
     ``base_rows`` bounds the number of keys, and lets the starts be broadcast.
     """
+    salts = salts or max(SALTS, math.ceil(rows.count() / PART_ROWS))
     part = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
     rows = rows.withColumn("_part", part)
     sizes = (counts.withColumn("_part", part) if counts is not None else rows).groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))

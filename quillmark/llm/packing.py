@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     """One row per piece: id, piece, start, length, ids_crc32 (and ids unless ``digest_only``), sequence_id, offset.
 
     Tokens don't move if only their digest is asked for; what is shuffled is a few numbers a piece. The driver gets one
-    count per length, at most ``capacity`` of them. Pieces of one length are ranked in 256 parts, so that a length that
+    count per length, at most ``capacity`` of them. Pieces of one length are ranked in 256 or more parts, so that a length that
     a third of all pieces have doesn't gather in a task. Null ids are passed on; repeated rows are packed each; an
     empty table gives an empty result. Other columns are ignored.
     """

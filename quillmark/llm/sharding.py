@@ -40,9 +40,10 @@ def jump_hash(key: Column, shards: int) -> Column:
 def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard (the shard were there one more).
 
+    Ids are integers, or text that Spark casts to them; other text raises an error where ANSI mode is on, as by default.
     The id and the number of shards decide alone; equal ids, as in repeated rows, share a shard. Slots number a shard's
     rows from 0, in an order that depends on the rows' values only. Null text has size 8 and checksum 0; a null id
-    counts as -1. Texts aren't shuffled; a shard's rows are numbered in 256 parts, so that few shards or one hot id
+    counts as -1. Texts aren't shuffled; a shard's rows are numbered in 256 or more parts, so that few shards or one hot id
     do not gather in a task. Other columns are ignored.
     """
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

@@ -254,7 +254,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null html is an empty payload; null or malformed urls are kept as an empty or the same target. Of pages with equal
     payloads of at least 100 bytes the smallest id is the response. Repeated rows with that id are responses each; a
-    page without id is a response. An empty table writes no archive. Payloads are compared by SHA-256; only ids,
+    page without id is a response. Rows that share an id but not the payload are told apart by their digests. A page is held
+    whole, in a worker in up to five copies (batch, payload, record, archive, member), so the largest page times five must
+    fit a worker. An empty table writes no archive. Payloads are compared by SHA-256; only ids,
     digests and sizes are shuffled, and groups of copies are totalled in parts.
     """
     spark = pages.sparkSession
