@@ -83,7 +83,7 @@ def test_language(spark, odd):
     assert all(got.held_out[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got.index) and got.score.between(0, 1).all()
     found = {r.doc_id: r for r in language_id.identify(odd, language_id.train(odd)).collect()}
     assert found[1].lang_pred == found[2].lang_pred == found[10].lang_pred == "und" and found[3].lang_pred == "en"
-    assert language_id.train(odd.limit(0)).predict("abc") == ("und", 0.0)
+    assert language_id.train(odd.limit(0)).predict(["abc"])[0] == ["und"]
 
 
 def test_token_counts(spark, odd):
