@@ -9,7 +9,9 @@ import os
 import struct
 import tempfile
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+
+import numpy as np
 
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"QTRN"
@@ -129,6 +131,25 @@ class Transducer:
 
         self._first, self._final, self._target, self._out = take(states + 1, "I"), take(states, "I"), take(arcs, "I"), take(arcs, "I")
         self._pool, self._label = take(pool, "I"), take(labels, "B")
+        first, label = np.asarray(self._first), np.asarray(self._label)[:arcs]
+        self._ends, self._to = np.asarray(self._final) > 0, np.asarray(self._target)
+        self._keys = np.repeat(np.arange(states, dtype=np.int64), np.diff(first.astype(np.int64))) << 8 | label
+
+    def accepts(self, words: Sequence[bytes]) -> np.ndarray:
+        """Which of the words are in the lexicon: all walk the automaton together, a byte at a time."""
+        out = np.zeros(len(words), bool)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        raw, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        live, state, step = np.flatnonzero(size), np.zeros(np.count_nonzero(size), np.int64), 0
+        while len(live) and len(self._keys):
+            key = state << 8 | raw[begin[live] + step]
+            at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+            hit = self._keys[at] == key
+            live, state, step = live[hit], self._to[at[hit]].astype(np.int64), step + 1
+            ended = size[live] == step
+            out[live[ended]] = self._ends[state[ended]]
+            live, state = live[~ended], state[~ended]
+        return out
 
     def get(self, word: bytes) -> list[int] | None:
         """The word's ids, or None if it isn't in the lexicon."""
