@@ -20,21 +20,21 @@ def parse_check(args: list[str]) -> tuple[str, str] | None:
         if a in ("--db", "--script"):
             value = next(it, None)
             if value is None:
-                raise UsageError(f"missing value after {a}")
+                raise UsageError(f"{a} needs a value")
             db, script = (value, script) if a == "--db" else (db, value)
         elif a in ("-h", "--help"):
             return None
         elif a.startswith("-"):
-            raise UsageError(f"unknown option `{a}`\n\n{USAGE}")
+            raise UsageError(f"no such option: {a}\n\n{USAGE}")
         else:
             rest.append(a)
     if db is None and script is None and len(rest) == 2:
         return rest[0], rest[1]
     if rest:
-        raise UsageError(f"unexpected positional arguments: {' '.join(rest)}\n\n{USAGE}")
+        raise UsageError(f"more arguments than expected: {' '.join(rest)}\n\n{USAGE}")
     for name, value in (("--db", db), ("--script", script)):
         if value is None:
-            raise UsageError(f"missing {name}\n\n{USAGE}")
+            raise UsageError(f"{name} is needed\n\n{USAGE}")
     return db, script
 
 
@@ -48,7 +48,7 @@ def check(spark, db: str, script: str) -> list[str]:
     catalog = load(spark, db)
     files = spark.read.format("binaryFile").load(script).select(F.col("path").alias("script_id"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("source"))
     if bad := files.filter("source IS NULL").head():
-        raise ValueError(f"failed to read script `{bad.script_id}`: not UTF-8")
+        raise ValueError(f"{bad.script_id} is not UTF-8")
     lines = report_lines(analyze_scripts(files, catalog.min_statements), catalog)
     return [r.line for r in lines.orderBy("script_id", "kind", "seq", "ord").toLocalIterator()]
 
@@ -59,7 +59,7 @@ def main(argv: list[str]) -> int:
             print(USAGE)
             return 0
         if argv[0] != "check":
-            raise UsageError(f"unknown command `{argv[0]}`\n\n{USAGE}")
+            raise UsageError(f"no such command: {argv[0]}\n\n{USAGE}")
         asked = parse_check(argv[1:])
         if asked is None:
             print(USAGE)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,16 +14,32 @@ from quillmark.sources.catalog_file import CatalogError, decode, encode
 
 LIBS = "lib_id int, name string, versions array<string>"
 HASHES = "ord long, digest binary, lib_id int, version_index int"
+#: Records with their names are broadcast up to so many bytes, as a count of them shows.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
 class Catalog:
-    """``libs`` (lib_id, name, versions), and ``files`` and ``funcs`` (ord, digest, lib_id, version_index)."""
+    """``libs`` (lib_id, name, versions), and ``files`` and ``funcs`` (ord, digest, lib_id, version_index), where ord numbers
+    the records of a table in order, without gaps where order is checked. ``bloom`` is the filter of a file that was read."""
 
     libs: DataFrame
     files: DataFrame
     funcs: DataFrame
     min_statements: int = 3
+    bloom: bytes = b""
+    bloom_hashes: int = 0
+    _records: DataFrame | None = field(default=None, repr=False)
+
+    def records(self) -> DataFrame:
+        """(kind, digest, ord, lib, version) of all records that have a library and version; kind is 0 for files and 1 for
+        functions. Worked out once; sent to all executors if their bytes, which are counted, are few enough."""
+        if self._records is None:
+            both = self.files.withColumn("kind", F.lit(0)).unionByName(self.funcs.withColumn("kind", F.lit(1)))
+            named = both.join(self.versions(), ["lib_id", "version_index"]).select("kind", "digest", "ord", F.col("name").alias("lib"), "version")
+            size = named.agg(F.sum(F.octet_length("lib") + F.octet_length("version") + 64)).head()[0] or 0
+            self._records = F.broadcast(named) if size <= BROADCAST_BYTES else named
+        return self._records
 
     def __enter__(self) -> Catalog:
         for t in (self.libs, self.files, self.funcs):
@@ -53,14 +70,15 @@ class Catalog:
         return (self.files if files else self.funcs).join(self.versions(), ["lib_id", "version_index"], "left_anti")
 
     def unsorted(self, files: bool = True) -> DataFrame:
-        """Records whose digest is less than that of the record before. A file's tables fit one task by their format."""
-        before = F.lag("digest").over(Window.orderBy("ord"))
-        return (self.files if files else self.funcs).withColumn("_before", before).filter(F.col("_before") > F.col("digest")).drop("_before")
+        """Records whose digest is less than that of the record before, which an equal join finds."""
+        rows = self.files if files else self.funcs
+        before = rows.select((F.col("ord") + 1).alias("ord"), F.col("digest").alias("_before"))
+        return rows.join(before, "ord").filter(F.col("_before") > F.col("digest")).drop("_before")
 
     def over_limits(self) -> DataFrame:
-        """(lib_id, problem) of libraries beyond what the file format holds."""
+        """(lib_id, problem) of libraries beyond what the file format holds; a lib_id too large is one too many."""
         long_version = F.exists("versions", lambda v: F.octet_length(v) > 255)
-        problem = F.when(F.octet_length("name") > 255, "name").when(F.size("versions") > 65535, "versions").when(long_version, "version")
+        problem = F.when(F.col("lib_id") > 65535, "libraries").when(F.octet_length("name") > 255, "name").when(F.size("versions") > 65535, "versions").when(long_version, "version")
         return self.libs.select("lib_id", problem.alias("problem")).filter("problem IS NOT NULL")
 
     def to_bytes(self) -> bytes:
@@ -78,8 +96,13 @@ class Catalog:
 def from_bytes(spark: SparkSession, data: bytes) -> Catalog:
     c = decode(data)
     libs = spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate(c.libs)], LIBS)
-    files, funcs = (spark.createDataFrame([(i, *r) for i, r in enumerate(t)], HASHES) for t in (c.file_hashes, c.func_hashes))
-    return Catalog(libs, files, funcs, c.min_statements)
+
+    def table(rows: list) -> DataFrame:
+        digests, lib_ids, versions = zip(*rows, strict=True) if rows else ((), (), ())
+        columns = [pa.array(range(len(rows)), pa.int64()), pa.array(digests, pa.binary()), pa.array(lib_ids, pa.int32()), pa.array(versions, pa.int32())]
+        return spark.createDataFrame(pa.table(columns, names=["ord", "digest", "lib_id", "version_index"]))
+
+    return Catalog(libs, table(c.file_hashes), table(c.func_hashes), c.min_statements, c.bloom, c.bloom_hashes)
 
 
 def load(spark: SparkSession, path: str) -> Catalog:
@@ -95,6 +118,20 @@ def load_parquet(spark: SparkSession, path: str) -> Catalog:
     return Catalog(libs, files, funcs, meta.collect()[0].min_statements)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Records (digest, lib_id, version_index) with ord, their number in order of these. Digests begin evenly, so records
+    of one beginning of two bytes are numbered by one task, from where those before them end; there are at most 65,536
+    beginnings, whose counts alone are summed in one place."""
+    rows = rows.withColumn("_cell", F.substring("digest", 1, 2))
+    cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("_cell", "n"))).alias("c"))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<_cell:binary,at:bigint>>").alias("out"))
+    step = lambda a, c: F.struct((a["at"] + c["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(c["_cell"].alias("_cell"), a["at"].alias("at")))).alias("out"))
+    starts = cells.select(F.inline(F.aggregate("c", first, step, lambda a: a["out"])))
+    order = Window.partitionBy("_cell").orderBy("digest", "lib_id", "version_index")
+    found = rows.withColumn("_rn", F.row_number().over(order)).join(starts, "_cell")
+    return found.select((F.col("at") + F.col("_rn") - 1).alias("ord"), "digest", "lib_id", "version_index")
+
+
 def build(libs: DataFrame, file_hashes: DataFrame, func_hashes: DataFrame, min_statements: int = 3) -> Catalog:
     """From libs (lib_id, name, versions) and tables (hash, lib_id, version_index), hash strings being parsed and records
     put in order of their digests. Raises CatalogError for malformed hashes, limits and references."""
@@ -103,9 +140,10 @@ def build(libs: DataFrame, file_hashes: DataFrame, func_hashes: DataFrame, min_s
         parsed = rows.withColumn("digest", parse_hash(F.col("hash")))
         if bad := parsed.filter("digest IS NULL").select("hash").head():
             raise CatalogError(f"{label}: malformed hash: {bad.hash}")
-        order = Window.orderBy("digest", "lib_id", "version_index")
-        return parsed.select((F.row_number().over(order) - 1).cast("long").alias("ord"), "digest", F.col("lib_id").cast("int"), F.col("version_index").cast("int"))
+        return numbered(parsed.select("digest", F.col("lib_id").cast("int").alias("lib_id"), F.col("version_index").cast("int").alias("version_index")))
 
+    if not 0 <= min_statements <= 255:
+        raise CatalogError("the least number of statements must be from 0 to 255")
     out = Catalog(libs, table(file_hashes, "file_hashes"), table(func_hashes, "func_hashes"), min_statements)
     if bad := out.over_limits().orderBy("lib_id").head():
         raise CatalogError(f"library {bad.lib_id}: {bad.problem} beyond the format's limit")

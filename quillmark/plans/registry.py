@@ -6,13 +6,20 @@ engine can digest them.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmark.functions.hashes import PREFIX, format_hash, parse_hash
 from quillmark.operators import analyze as an
-from quillmark.operators.catalog import HASHES, Catalog
+from quillmark.operators.catalog import HASHES, Catalog, build, from_bytes, numbered
 from quillmark.operators.match import check_scripts, function_matches, report_lines, whole_file_matches
+from quillmark.plans import syntax
+from quillmark.sources.catalog_file import bloom_build
+from quillmark.streaming.scripts import match_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +78,10 @@ def eligibility(spark, sf_dir):
     scripts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("script_id"), F.expr("concat('function f(){', repeat('a();', p_size % 5), '}')").alias("source"))
     every = an.functions_of(an.analyze_scripts(scripts, 0), ["script_id"])
     swept = every.withColumn("least", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    return swept.filter("stmt_count >= least OR units >= greatest(2 * least - 1, 0)").groupBy("least").agg(F.count(F.lit(1)).alias("n"))
+    passed = F.lit(False)
+    for least in range(7):
+        passed = F.when(F.col("least") == least, an.eligible(F.col("stmt_count"), F.col("units"), least)).otherwise(passed)
+    return swept.filter(passed).groupBy("least").agg(F.count(F.lit(1)).alias("n"))
 
 
 def positions(spark, sf_dir):
@@ -89,7 +99,18 @@ def format_hash_query(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", format_hash(F.unhex(F.sha2("p_name", 256))).alias("hash"))
 
 
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog of a folder of tables, made once in a session and kept by its executors."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CATALOGS:
+        _CATALOGS[key] = _catalog(spark, sf_dir).__enter__()
+    return _CATALOGS[key]
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """Libraries are brands, each with versions 1.0 and 2.0. Whole files: every seventh page's script, for the brand of
     rank page_id % 5. Functions: the outer one of even sizes and the inner one of sizes divisible by three, for each
     brand that has a part of the size."""
@@ -100,17 +121,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     files = pages.select(F.unhex(F.sha2(F.expr(FILE_STREAM), 256)).alias("digest"), (F.col("page_id") % 5).cast("int").alias("lib_id"), F.lit(0).alias("version_index"))
     sized = part.select("p_size", F.col("p_brand").alias("name")).distinct().join(F.broadcast(libs), "name")
     kinds = [sized.filter(where).select(F.unhex(F.sha2(F.expr(stream), 256)).alias("digest"), "lib_id", (F.col("p_size") % 2).cast("int").alias("version_index")) for where, stream in (("p_size % 2 = 0", OUTER_STREAM), ("p_size % 3 = 0", INNER_STREAM))]
-    order = "row_number() OVER (ORDER BY digest, lib_id, version_index) - 1"
-    tables = [t.select(F.expr(order).cast("long").alias("ord"), "digest", "lib_id", "version_index") for t in (files, kinds[0].unionByName(kinds[1]))]
-    return Catalog(libs, *tables)
+    return Catalog(libs, numbered(files), numbered(kinds[0].unionByName(kinds[1])))
 
 
 def catalog_libs(spark, sf_dir):
-    return catalog(spark, sf_dir).versions().select("lib_id", "version_index", "name", "version")
+    return catalog(spark, sf_dir).list_libs().select("lib_id", "name", F.posexplode("versions").alias("version_index", "version"))
 
 
 def catalog_dump(spark, sf_dir):
-    return catalog(spark, sf_dir).dump(files=False).select("hash", "lib", "version")
+    both = [catalog(spark, sf_dir).dump(files=files).withColumn("kind", F.lit("file" if files else "function")) for files in (True, False)]
+    return both[0].unionByName(both[1]).select("kind", "ord", "hash", "lib", "version")
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -146,22 +166,80 @@ def match_prune(spark, sf_dir):
     return found.select("script_id", "seq", "name", "lib", "version")
 
 
+def _with_whole(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog, with the scripts of the parts divisible by 97 as whole files of library 0 too."""
+    base, part = catalog(spark, sf_dir), _table(spark, sf_dir, "part")
+    stream = F.expr(f"concat('Program,FunctionDeclaration,Identifier,L0,', {OUTER_STREAM})")
+    whole = part.filter("p_partkey % 97 = 0").select(F.unhex(F.sha2(stream, 256)).alias("digest"), F.lit(0).alias("lib_id"), F.lit(1).alias("version_index")).distinct()
+    return Catalog(base.libs, numbered(whole), base.funcs)
+
+
 def match_file_shortcircuit(spark, sf_dir):
-    """Function matches when the scripts of parts divisible by 97 are whole files of the catalog too."""
-    analyzed = an.analyze_scripts(part_scripts(spark, sf_dir))
-    base = catalog(spark, sf_dir)
-    whole = analyzed.filter("script_id % 97 = 0").select("file_hash").distinct().select(F.monotonically_increasing_id().alias("ord"), parse_hash(F.col("file_hash")).alias("digest"), F.lit(0).alias("lib_id"), F.lit(0).alias("version_index"))
-    return function_matches(analyzed, Catalog(base.libs, whole, base.funcs)).select("script_id", "seq", "lib", "version")
+    """Function matches where some scripts are whole files of the catalog."""
+    return function_matches(an.analyze_scripts(part_scripts(spark, sf_dir)), _with_whole(spark, sf_dir)).select("script_id", "seq", "lib", "version")
 
 
 def match_nested_result(spark, sf_dir):
-    found = check_scripts(an.analyze_scripts(part_scripts(spark, sf_dir)), catalog(spark, sf_dir))
+    found = check_scripts(an.analyze_scripts(part_scripts(spark, sf_dir)), _with_whole(spark, sf_dir))
     libs = F.aggregate("functions", F.lit(0), lambda n, f: n + F.size(f["libs"]))
     return found.select("script_id", F.size("whole_file").cast("long").alias("n_whole"), F.size("functions").cast("long").alias("n_functions"), libs.cast("long").alias("n_libs"))
 
 
+def match_errors(spark, sf_dir):
+    """Scripts of which every third can't be parsed and every fifth has no source have empty results, and are there."""
+    scripts = part_scripts(spark, sf_dir).withColumn("source", F.expr("CASE WHEN script_id % 5 = 0 THEN NULL WHEN script_id % 3 = 0 THEN concat(source, '(') ELSE source END"))
+    found = check_scripts(an.analyze_scripts(scripts), catalog(spark, sf_dir))
+    return found.select("script_id", F.size("whole_file").cast("long").alias("n_whole"), F.size("functions").cast("long").alias("n_functions"))
+
+
 def report(spark, sf_dir):
-    return report_lines(an.analyze_scripts(part_scripts(spark, sf_dir)), catalog(spark, sf_dir)).select("script_id", "line")
+    """Report lines with their place in a script's report."""
+    lines = report_lines(an.analyze_scripts(part_scripts(spark, sf_dir)), _with_whole(spark, sf_dir))
+    place = F.dense_rank().over(Window.partitionBy("script_id").orderBy("kind", "seq"))
+    return lines.select("script_id", place.alias("place"), "line")
+
+
+def catalog_roundtrip(spark, sf_dir):
+    """Records of the catalog built from hash strings, written to its file form and read back."""
+    base = catalog(spark, sf_dir)
+    tables = [t.select(format_hash(F.col("digest")).alias("hash"), "lib_id", "version_index") for t in (base.files, base.funcs)]
+    back = from_bytes(spark, build(base.libs, *tables).to_bytes())
+    both = [back.dump(files=files).withColumn("kind", F.lit("file" if files else "function")) for files in (True, False)]
+    return both[0].unionByName(both[1]).select("kind", "ord", "hash", "lib", "version")
+
+
+def bloom_gate(spark, sf_dir):
+    """Function matches through the filter of the catalog's file form. A sound filter denies no known digest; one whose
+    bits are all 0 denies all."""
+    base = catalog(spark, sf_dir)
+    read = from_bytes(spark, base.to_bytes())
+    analyzed = an.analyze_scripts(part_scripts(spark, sf_dir))
+    sound = function_matches(analyzed, read, strict=True).select("script_id", "seq", "lib", "version", F.lit("sound").alias("filter"))
+    read = from_bytes(spark, base.to_bytes())
+    read.bloom = bytes(len(read.bloom))
+    return sound.unionByName(function_matches(analyzed, read, strict=True).select("script_id", "seq", "lib", "version", F.lit("empty").alias("filter")))
+
+
+def bloom_filter(spark, sf_dir):
+    """The bits that ``bloom_build`` sets for the digests of functions. The file form has at most 2^32 of them."""
+    funcs = catalog(spark, sf_dir).funcs.orderBy("digest")
+    bits, hashes = bloom_build([bytes(r.digest) for r in funcs.select("digest").toLocalIterator()])
+    return spark.createDataFrame([(i, hashes) for i in range(8 * len(bits)) if bits[i >> 3] >> (i & 7) & 1], "bit long, probes int")
+
+
+def stream(spark, sf_dir):
+    """Lines of ``match_stream`` over the scripts of parts, written and then read as they arrive."""
+    base = new_folder(spark)
+    part_scripts(spark, sf_dir).write.parquet(f"{base}/in")
+    source = spark.readStream.schema("script_id long, source string").parquet(f"{base}/in")
+    out = lambda rows, number: rows.select("script_id", "line").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    match_stream(source, _with_whole(spark, sf_dir), out, f"{base}/state").awaitTermination()
+    return spark.read.schema("script_id long, line string").parquet(f"{base}/out").select("script_id", "line")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: within ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/quillmark/stream-{uuid.uuid4().hex}"
 
 
 def bloom_bits(spark, sf_dir):
@@ -197,7 +275,12 @@ QUERIES = {
     "match_nested_result": match_nested_result,
     "report_lines": report,
     "bloom_bits": bloom_bits,
-}
+    "bloom_filter": bloom_filter,
+    "bloom_gate": bloom_gate,
+    "catalog_roundtrip": catalog_roundtrip,
+    "match_errors": match_errors,
+    "match_stream": stream,
+} | syntax.QUERIES
 
 # ---- SQL
 _HASH = f"'{PREFIX}' || sha256({{}})"
@@ -217,6 +300,19 @@ _TOKENS = "['Program','VariableDeclaration','VariableDeclarator','Identifier','L
 _PARTS = f"WITH {_FUNCS}, {_ROOTS}, {_PRUNED} "
 _WORD = "(" + " + ".join(f"('0x' || substr(digest, {{0}} + {2 * k}, 2))::UTINYINT::HUGEINT * {256**k}::HUGEINT" for k in range(8)) + ")"
 
+_DUMP = f"""WITH {_FUNCS}, files AS (
+  SELECT sha256({FILE_STREAM}) AS d, lib, '1.0' AS version FROM pages JOIN libs ON lib_id = page_id % 5 WHERE page_id % 7 = 0
+), both_kinds AS (SELECT 'file' AS kind, d, lib, version FROM files UNION ALL SELECT 'function', d, lib, version FROM funcs)
+SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY d, lib, version) - 1 AS ord, '{PREFIX}' || d AS hash, lib, version FROM both_kinds"""
+_WHOLE = "whole AS (SELECT p_partkey AS script_id FROM part WHERE p_size IN (SELECT p_size FROM part WHERE p_partkey % 97 = 0))"
+_LINE = "'function' || chr(9) || '1:' || CASE name WHEN 'f' THEN 0 ELSE 35 + len(CAST(p_size AS VARCHAR)) END || '-1:' || (CASE name WHEN 'f' THEN 87 ELSE 77 END + 2 * len(CAST(p_size AS VARCHAR))) || chr(9) || name || chr(9) || lib || '@' || version"
+_REPORT = f"""WITH {_FUNCS}, {_ROOTS}, {_PRUNED}, {_WHOLE}, lines AS (
+  SELECT script_id, -1 AS seq, 'whole-file' || chr(9) || lib || '@2.0' AS line FROM whole, libs WHERE lib_id = 0
+  UNION ALL
+  SELECT script_id, seq, {_LINE} FROM pruned WHERE script_id NOT IN (SELECT script_id FROM whole)
+) """
+_BITS = f"WITH {_FUNCS}, n AS (SELECT greatest(1, ceil(count(*) * 10 / 8))::HUGEINT AS bytes FROM funcs), g AS (SELECT DISTINCT d AS digest FROM funcs), bits AS (SELECT digest, CAST(i AS INTEGER) AS i, CAST((({_WORD.format(1)} + i * {_WORD.format(17)}) % 18446744073709551616::HUGEINT) % (bytes * 8) AS BIGINT) AS bit FROM g, n, range(0, 7) t(i)) "
+
 ORACLE_SQL = {
     "page_file_hash": f"SELECT page_id AS script_id, {_HASH.format(FILE_STREAM)} AS file_hash FROM pages",
     "page_tokens": f"SELECT page_id AS script_id, CAST(i - 1 AS INTEGER) AS seq, {_TOKENS}[i] AS token FROM pages, range(1, 14) t(i)",
@@ -228,7 +324,8 @@ ORACLE_SQL = {
     "parse_hash": "SELECT p_partkey, CASE WHEN p_size % 4 IN (0, 1) THEN sha256(p_name) END AS digest FROM part",
     "format_hash": f"SELECT p_partkey, {_HASH.format('p_name')} AS hash FROM part",
     "catalog_libs": f"WITH {_LIBS} SELECT CAST(lib_id AS INTEGER) AS lib_id, CAST(i AS INTEGER) AS version_index, lib AS name, CASE i WHEN 0 THEN '1.0' ELSE '2.0' END AS version FROM libs, range(0, 2) t(i)",
-    "catalog_dump": f"WITH {_FUNCS} SELECT '{PREFIX}' || d AS hash, lib, version FROM funcs",
+    "catalog_dump": _DUMP,
+    "catalog_roundtrip": _DUMP,
     "catalog_sorted": "SELECT ord FROM (SELECT p_partkey AS ord, sha256(CAST(p_size AS VARCHAR)) AS d, lag(sha256(CAST(p_size AS VARCHAR))) OVER (ORDER BY p_partkey) AS b FROM part) WHERE b > d",
     "catalog_dangling": f"WITH {_LIBS} SELECT p_partkey AS ord, CAST(p_partkey % 30 AS INTEGER) AS lib_id, CAST(p_size % 3 AS INTEGER) AS version_index FROM part WHERE p_partkey % 30 NOT IN (SELECT lib_id FROM libs) OR p_size % 3 > 1",
     "catalog_limits": "SELECT CAST(p_partkey AS INTEGER) AS lib_id, CASE WHEN 8 * p_size > 255 THEN 'name' ELSE 'version' END AS problem FROM part WHERE 8 * p_size > 255 OR 7 * p_size > 255",
@@ -236,7 +333,11 @@ ORACLE_SQL = {
     "lookup_func": f"{_PARTS} SELECT script_id, CAST(seq AS INTEGER) AS seq, lib, version FROM hits",
     "match_prune": f"{_PARTS} SELECT script_id, CAST(seq AS INTEGER) AS seq, name, lib, version FROM pruned",
     "match_file_shortcircuit": f"{_PARTS} SELECT script_id, CAST(seq AS INTEGER) AS seq, lib, version FROM pruned WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_partkey % 97 = 0)",
-    "match_nested_result": f"{_PARTS} SELECT p_partkey AS script_id, CAST(0 AS BIGINT) AS n_whole, count(DISTINCT seq) AS n_functions, count(lib) AS n_libs FROM part LEFT JOIN pruned ON script_id = p_partkey GROUP BY 1",
-    "report_lines": f"{_PARTS} SELECT script_id, 'function' || chr(9) || '1:' || CASE name WHEN 'f' THEN 0 ELSE 35 + len(CAST(p_size AS VARCHAR)) END || '-1:' || (CASE name WHEN 'f' THEN 87 ELSE 77 END + 2 * len(CAST(p_size AS VARCHAR))) || chr(9) || name || chr(9) || lib || '@' || version AS line FROM pruned",
-    "bloom_bits": f"WITH {_FUNCS}, n AS (SELECT greatest(1, ceil(count(*) * 10 / 8))::HUGEINT AS bytes FROM funcs), g AS (SELECT DISTINCT d AS digest FROM funcs) SELECT digest, CAST(i AS INTEGER) AS i, CAST((({_WORD.format(1)} + i * {_WORD.format(17)}) % 18446744073709551616::HUGEINT) % (bytes * 8) AS BIGINT) AS bit FROM g, n, range(0, 7) t(i)",
-}
+    "match_nested_result": f"WITH {_FUNCS}, {_ROOTS}, {_PRUNED}, {_WHOLE} SELECT p.p_partkey AS script_id, CASE WHEN w.script_id IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS n_whole, count(DISTINCT r.seq) FILTER (w.script_id IS NULL) AS n_functions, count(r.lib) FILTER (w.script_id IS NULL) AS n_libs FROM part p LEFT JOIN pruned r ON r.script_id = p.p_partkey LEFT JOIN whole w ON w.script_id = p.p_partkey GROUP BY p.p_partkey, w.script_id",
+    "match_errors": f"{_PARTS} SELECT p_partkey AS script_id, CAST(0 AS BIGINT) AS n_whole, count(DISTINCT seq) AS n_functions FROM part LEFT JOIN pruned ON script_id = p_partkey AND script_id % 5 <> 0 AND script_id % 3 <> 0 GROUP BY 1",
+    "report_lines": f"{_REPORT} SELECT script_id, CAST(dense_rank() OVER (PARTITION BY script_id ORDER BY seq) AS INTEGER) AS place, line FROM lines",
+    "match_stream": f"{_REPORT} SELECT script_id, line FROM lines",
+    "bloom_bits": f"{_BITS} SELECT digest, i, bit FROM bits",
+    "bloom_filter": f"{_BITS} SELECT DISTINCT bit, CAST(7 AS INTEGER) AS probes FROM bits",
+    "bloom_gate": f"{_PARTS} SELECT script_id, CAST(seq AS INTEGER) AS seq, lib, version, 'sound' AS filter FROM pruned",
+} | syntax.ORACLE_SQL

@@ -62,18 +62,18 @@ def _check_refs(libs: Sequence[tuple[str, Sequence[str]]], label: str, records:
 def decode(data: bytes) -> Contents:
     """Parse and validate. Stray bytes after the tables or the bloom filter are accepted, and so is a missing filter."""
     if len(data) < 17:
-        raise CatalogError("Database too small for header")
+        raise CatalogError("the file is shorter than its header")
     if data[:3] != MAGIC:
-        raise CatalogError(f"Invalid magic: {data[:3]!r}")
+        raise CatalogError(f"not a catalog file, as it begins with {data[:3]!r}")
     if data[3] != VERSION:
-        raise CatalogError(f"Unsupported version: {data[3]}")
+        raise CatalogError(f"version {data[3]} of the format can't be read")
     n_libs, n_files, n_funcs = struct.unpack_from("<III", data, 5)
     out, at = Contents(data[4], []), 17
 
     def take(n: int, what: str) -> bytes:
         nonlocal at
         if at + n > len(data):
-            raise CatalogError(f"Truncated {what}")
+            raise CatalogError(f"the file ends within its {what}")
         at += n
         return data[at - n : at]
 
@@ -81,7 +81,7 @@ def decode(data: bytes) -> Contents:
         try:
             return raw.decode()
         except UnicodeDecodeError as e:
-            raise CatalogError(f"Invalid UTF-8 in {what}: {e}") from None
+            raise CatalogError(f"a {what} is not UTF-8: {e}") from None
 
     for _ in range(n_libs):
         size = take(3, "lib table")[2]
@@ -90,9 +90,9 @@ def decode(data: bytes) -> Contents:
         out.libs.append((name, [text(take(take(1, "version entry")[0], "version string"), "version") for _ in range(versions)]))
     out.file_hashes = list(_RECORD.iter_unpack(take(36 * n_files, "file hash table")))
     out.func_hashes = list(_RECORD.iter_unpack(take(36 * n_funcs, "function hash table")))
-    for what, table in (("File", out.file_hashes), ("Function", out.func_hashes)):
+    for what, table in (("file", out.file_hashes), ("function", out.func_hashes)):
         if any(a[0] > b[0] for a, b in zip(table, table[1:], strict=False)):
-            raise CatalogError(f"{what} hash table is not sorted")
+            raise CatalogError(f"{what} records are out of order")
     _check_refs(out.libs, "file", out.file_hashes)
     _check_refs(out.libs, "function", out.func_hashes)
     if len(data) - at >= 5:

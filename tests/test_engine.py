@@ -1,6 +1,7 @@
 """The engine's queries against DuckDB, and the front end against worked examples and pairs of sources."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmark.jsfront.lexer import JsSyntaxError
 from quillmark.jsfront.roots import analyze
 from quillmark.operators import analyze as an
-from quillmark.operators.catalog import build, from_bytes
+from quillmark.operators.catalog import build, from_bytes, load_parquet
 from quillmark.operators.match import check_scripts, function_matches
 from quillmark.plans.registry import ORACLE_SQL, QUERIES
 from quillmark.sources.catalog_file import CatalogError, bloom_may_contain, decode, encode
@@ -49,9 +50,9 @@ def test_differ(a, b):
 
 
 def test_roots():
-    assert [r.name for r in analyze("function f(){ return (a(), b(), c()) }").roots] == ["f"]
-    assert analyze("function f(){ return obj.value }").roots == []
-    assert "inner" in [r.name for r in analyze("!function(){ function inner(a){ var b=a; b++; return b } }()").roots]
+    assert [r.name for r in analyze("function pick(){ return go(), stop(), wait() }").roots] == ["pick"]
+    assert analyze("function pick(){ return shop.price }").roots == []
+    assert "deep" in [r.name for r in analyze("+function(){ function deep(n){ let m=n; m--; return m } }()").roots]
     assert analyze("class A { m() { a(); b(); c() } }", 9).roots == []
     with pytest.raises(JsSyntaxError):
         analyze("var = 1")
@@ -127,6 +128,78 @@ def test_prune_equals_list_scan():
         assert kept == seen
 
 
+def _mangled(source, rng):
+    """The source with other white space, and each name of its own replaced by another."""
+    fresh = iter(rng.sample([f"v{i}" for i in range(100)], 100))
+    names = {n: next(fresh) for n in ("first", "second", "total", "count", "item")}
+    out = re.sub(r"\b(first|second|total|count|item)\b", lambda m: names[m[0]], source)
+    return re.sub(r" +", lambda m: rng.choice([" ", "\n", "  /* x */ "]), out)
+
+
+LIBRARY = "var total = 0 ; function add ( first , second ) { var count = first + second ; total += count ; if ( count > 10 ) { throw 'many' ; } return total ; } class Box { put ( item ) { this.held = item ; add ( item , 1 ) ; return this.held ; } }"
+MUTATIONS = [("+ second", "- second"), ("> 10", "> 11"), ("'many'", "'much'"), ("this.held = item", "this.kept = item"), ("return total", "return count"), ("throw", "return"), ("put ( item )", "put ( item , item2 )"), ("total += count ;", "total += count ; add ( ) ;"), ("class Box", "class Box extends add"), (" } }", " } } add ( )")]
+
+
+def test_mangling_is_stable():
+    rng = random.Random(7)
+    want = analyze(LIBRARY, 1)
+    for _ in range(30):
+        got = analyze(_mangled(LIBRARY, rng), 1)
+        assert got.digest == want.digest and [r.digest for r in got.roots] == [r.digest for r in want.roots]
+
+
+@pytest.mark.parametrize(("old", "new"), MUTATIONS)
+def test_mutations_show(old, new):
+    assert LIBRARY.count(old) >= 1 and analyze(LIBRARY.replace(old, new, 1)).digest != analyze(LIBRARY).digest
+
+
+def test_cli_end_to_end(spark, tmp_path, capsys):
+    from quillmark import cli
+    from quillmark.operators.catalog import load
+    from quillmark.operators.match import write_report
+
+    known, other = "function go(a){ var b=a*2; b+=3; return b }", "(function(){ go(1); function go(a){ var b=a*2; b+=3; return b } })()"
+    scripts = spark.createDataFrame([("1", known), ("2", other)], "script_id string, source string")
+    analyzed = an.analyze_scripts(scripts)
+    one = an.functions_of(analyzed.filter("script_id = '1'"), ["script_id"]).head().hash
+    libs = spark.createDataFrame([(0, "lib", ["1.0"])], "lib_id int, name string, versions array<string>")
+    rows = lambda h: spark.createDataFrame([(h, 0, 0)], "hash string, lib_id int, version_index int")
+    catalog = build(libs, rows(analyzed.filter("script_id = '1'").head().file_hash), rows(one))
+    (tmp_path / "c.slhdb").write_bytes(catalog.to_bytes())
+    (tmp_path / "a.js").write_text(known)
+    (tmp_path / "b.js").write_text(other)
+    (tmp_path / "bad.js").write_bytes(b"\xff")
+    run = lambda *args: (cli.main(["check", "--db", f"{tmp_path}/c.slhdb", "--script", *args]), capsys.readouterr())
+    code, said = run(f"{tmp_path}/a.js")
+    assert code == 0 and said.out == "whole-file\tlib@1.0\n"
+    code, said = run(f"{tmp_path}/[ab].js")
+    assert code == 0 and said.out == "whole-file\tlib@1.0\nfunction\t1:20-1:63\tgo\tlib@1.0\n"
+    code, said = run(f"{tmp_path}/bad.js")
+    assert code == 1 and "UTF-8" in said.err
+    assert cli.main([]) == 0 and cli.main(["nonsense"]) == 1
+    write_report(analyzed, load(spark, f"{tmp_path}/c.slhdb"), f"{tmp_path}/out")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["whole-file\tlib@1.0", "function\t1:20-1:63\tgo\tlib@1.0"]
+    with catalog as held:
+        assert [r.name for r in held.list_libs().collect()] == ["lib"]
+    with pytest.raises(CatalogError):
+        build(libs, rows(one), rows(one), 256)
+    with pytest.raises(CatalogError):
+        build(spark.createDataFrame([(65536, "x", ["1"])], libs.schema), rows(one), rows(one))
+    catalog.write_parquet(f"{tmp_path}/p")
+    assert load_parquet(spark, f"{tmp_path}/p").to_bytes() == catalog.to_bytes()
+
+
+def test_scripts_are_parsed_once(spark):
+    """One Python stage over sources in the plan of each kind of result, and no window over a whole table."""
+    from quillmark.operators.match import report_lines
+    from quillmark.plans.registry import catalog, part_scripts
+
+    analyzed, known = an.analyze_scripts(part_scripts(spark, SF)), catalog(spark, SF)
+    for found in (check_scripts(analyzed, known), report_lines(analyzed, known), function_matches(analyzed, known)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and "Window [" in plan and "SinglePartition" not in plan.split("InMemoryRelation")[0]
+
+
 def test_cli():
     from quillmark.cli import UsageError, parse_check
 
