@@ -133,7 +133,7 @@ def _mangled(source, rng):
     fresh = iter(rng.sample([f"v{i}" for i in range(100)], 100))
     names = {n: next(fresh) for n in ("first", "second", "total", "count", "item")}
     out = re.sub(r"\b(first|second|total|count|item)\b", lambda m: names[m[0]], source)
-    return re.sub(r" +", lambda m: rng.choice([" ", "\n", "  /* x */ "]), out)
+    return re.sub(r" +", lambda m: rng.choice([" ", "\t", "  /* x */ "]), out)
 
 
 LIBRARY = "var total = 0 ; function add ( first , second ) { var count = first + second ; total += count ; if ( count > 10 ) { throw 'many' ; } return total ; } class Box { put ( item ) { this.held = item ; add ( item , 1 ) ; return this.held ; } }"
