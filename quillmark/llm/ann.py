@@ -23,6 +23,9 @@ MAX_LISTS, PARTS, CODES = 4_096, 16, 256
 TARGET = 0.97
 #: Vectors of a list that a task holds at most; longer lists are cut into pieces.
 PIECE = 8_192
+#: Vectors that a task meets, about, one piece after another, and queries whose best scores it remembers on the way; if it
+#: meets more it starts afresh, and only returns more of what others outdo.
+MET, REMEMBERED = 65_536, 65_536
 #: Queries that are compared with a piece together, and candidates of a query in a piece that are reranked exactly.
 TOGETHER, RERANK = 128, 64
 #: Vectors of the sample that give a query its first candidates, at most, and an eighth of the sample at most.
@@ -109,11 +112,6 @@ def start(index: Index, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return hit, exact(index.first[hit], queries[:, None, :])
 
 
-def _kth(score: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best score of each row, or less where it has fewer."""
-    return np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
-
-
 def _matrix(v) -> np.ndarray:
     return np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1)
 
@@ -134,7 +132,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     indexed. A query goes to the lists it probes, and on to further ones until they hold k other ids, so each query gets
     k rows if the table has as many others. Lists are cut into pieces of at most 8,192 vectors; a task holds a piece, and
     its queries stream past. Some vectors of the sample, which are sent out with the index, give each query its first
-    candidates, and pieces return only what isn't worse than these. The driver gets the sample and one count a list.
+    candidates; tasks return only what isn't worse than these, nor than what a query met in the task before. The driver gets the sample and one count a list.
 
     Vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows without id; such
     queries have no rows. Inner products need equal lengths: each length is a table of its own, with an index of its
@@ -213,6 +211,8 @@ def _nearest_of(vectors: DataFrame, is_query, k: int, ws: Workspace) -> DataFram
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spot, cids, codes, vectors, x = None, [], [], [], None
+        best: dict[int, np.ndarray] = {}  # the k + 1 best scores that a query has met in this task so far
+        nothing = np.full(k + 1, -np.inf)
         for b in batches:
             for (name, piece, asks), part in b.groupby(["list", "piece", "asks"], sort=False):
                 if (name, piece) != spot:
@@ -228,13 +228,19 @@ def _nearest_of(vectors: DataFrame, is_query, k: int, ws: Workspace) -> DataFram
                 for at in range(0, len(part), TOGETHER):
                     some = part[at : at + TOGETHER]
                     hit, score = shared.value.search(name, c, x, _matrix(some["v"]))
-                    i, j = np.nonzero(score >= np.maximum(some["score"].to_numpy(), _kth(score, k + 1))[:, None])
+                    own = some["cid"].tolist()
+                    top = np.concatenate([np.stack([best.get(q, nothing) for q in own]), score], axis=1)
+                    top = np.partition(top, -(k + 1), axis=1)[:, -(k + 1) :]
+                    if len(best) >= REMEMBERED:
+                        best.clear()
+                    best.update(zip(own, top, strict=True))
+                    i, j = np.nonzero(score >= np.maximum(some["score"].to_numpy(), top.min(axis=1))[:, None])
                     yield pd.DataFrame({"cid": some["cid"].to_numpy()[i], "near": known[hit[i, j]], "score": score[i, j]})
 
     held = placed.withColumn("piece", cut("list", F.shiftrightunsigned(F.xxhash64("cid"), 1)))
     both = held.select("list", "piece", F.lit(False).alias("asks"), "cid", "v", "code", F.lit(0.0).alias("score"))
     both = both.unionByName(sent.filter("list >= 0").select("list", "piece", F.lit(True).alias("asks"), "cid", "v", F.lit(None).cast("binary").alias("code"), "score"))
-    both = both.repartition(int(min(max(8, pieces.sum() // 4), 20_000)), "list", "piece").sortWithinPartitions("list", "piece", "asks")
+    both = both.repartition(min(max(8, math.ceil(n / MET)), 20_000), "list", "piece").sortWithinPartitions("list", "piece", "asks")
     met = both.mapInPandas(meet, "cid long, near long, score double").unionByName(sent.filter("list < 0").select("cid", "near", "score")).distinct()
     order = [F.desc("score"), F.asc("near")]
     best = met.withColumn("_rn", F.row_number().over(Window.partitionBy("cid").orderBy(*order))).filter(F.col("_rn") <= k + 1)
