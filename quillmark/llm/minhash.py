@@ -22,7 +22,7 @@ WORDS = 5
 MISS = 1e-6
 #: Bands at most.
 BANDS = 40
-#: Words of 64 bits in the sketch by which pairs are ruled out before their texts are read.
+#: Words of 64 bits in the widest sketch by which pairs are ruled out before their texts are read.
 SKETCH = 16
 #: Members of a bucket that are paired as they are; larger ones are cut first. Rows that a part of a bucket is paired with at
 #: a time, and others that are compared with one reading of a document.
@@ -135,6 +135,25 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def narrow(full: np.ndarray, n: int) -> np.ndarray:
+    """The sketch of a set of n items folded to 1, 2, 4, 8 or 16 words, so that it has a bit an item if it can: words that
+    fold onto one another are added bit by bit, as are their items' turns, so the bound of ``sketch`` holds here too."""
+    words = min(SKETCH, 1 << max(0, math.ceil(n / 64) - 1).bit_length())
+    return np.bitwise_xor.reduce(full.reshape(-1, words), axis=0)
+
+
+def _folded(x: Column, words: Column) -> Column:
+    """``narrow`` of a narrowed sketch, to so many words."""
+    return F.transform(F.sequence(F.lit(1), words), lambda i: F.aggregate(F.sequence(i, F.size(x), words), F.lit(0).cast("long"), lambda bits, j: bits.bitwiseXOR(F.element_at(x, j))))
+
+
+def turned(x: Column, y: Column) -> Column:
+    """In how many bits two narrowed sketches differ, the wider one being folded to the other's width."""
+    words = F.least(F.size(x), F.size(y))
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, bits: n + bits)
+    return F.when(F.size(x) == F.size(y), differ(x, y)).otherwise(differ(_folded(x, words), _folded(y, words)))
+
+
 def signatures(docs: DataFrame, threshold: float, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, set_id, bands, sketch) of each row: size and digest of its shingle set, its band keys, and its sketch."""
     rows, bands = banding(threshold)
@@ -145,7 +164,7 @@ def signatures(docs: DataFrame, threshold: float, words: int = WORDS, id_col: st
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 s = shingle_set(text, words)
                 if len(s):
-                    out.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(superminhash(s, rows * bands), rows, bands), sketch(s)))
+                    out.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(superminhash(s, rows * bands), rows, bands), narrow(sketch(s), len(s))))
                 else:
                     out.append((key, 0, None, None, None))
             yield pd.DataFrame(out, columns=["id", "n", "set_id", "bands", "sketch"])
@@ -223,7 +242,7 @@ class Linker:
         """Verify the pairs (a, b, total), total being the sum of their sizes, and take the links into the components.
         First, pairs go whose sketches differ more than the sets of linked documents can."""
         kinds = [self.sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"_{x}")) for x in "ab"]
-        differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        differ = turned(F.col("_a"), F.col("_b"))
         near = pairs.distinct().join(kinds[0], "a").join(kinds[1], "b").filter(differ * (100 + self.percent) <= (100 - self.percent) * F.col("total"))
         near = self.ws.keep(near.select("a", "b").distinct())
         if near.isEmpty():
@@ -309,6 +328,8 @@ def link_buckets(members: DataFrame, docs: DataFrame, sketches: DataFrame, perce
     members = linker.unresolved(members)
     if members.isEmpty():
         return None
+    met = ws.keep(members.select("id").distinct())
+    linker.sketches = ws.keep(sketches.join(_small(met), "id", "left_semi"))
     linker.stars(members)
     left = linker.unresolved(members)
     if not left.isEmpty():

@@ -241,6 +241,27 @@ def test_sketch():
         assert differ <= len(np.setxor1d(x, y)) and (minhash.sketch(x) == minhash.sketch(x[::-1])).all()
 
 
+def test_narrow_sketches(spark):
+    """Sketches of a width of their set's size still differ in at most as many bits as the sets in items."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in (1, 40, 64, 65, 128, 129, 250, 500, 1000, 1025, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (1.0, 0.9, 0.4, 0.0):
+            y = np.concatenate([x[: int(n * share)], rng.integers(0, 1 << 63, int(n * 0.3)).astype(np.uint64)])
+            if len(y):
+                y = np.unique(y)
+                a, b = (minhash.narrow(minhash.sketch(s), len(s)) for s in (x, y))
+                k = min(len(a), len(b))
+                want = np.bitwise_count((np.bitwise_xor.reduce(a.reshape(-1, k)) ^ np.bitwise_xor.reduce(b.reshape(-1, k))).view(np.uint64)).sum()
+                rows.append((a.tolist(), b.tolist(), int(want), len(np.setxor1d(x, y))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want int, most int")
+    got = df.select(minhash.turned(df.a, df.b).alias("got"), "want", "most").collect()
+    assert all(r.got == r.want <= r.most for r in got) and any(r.got < r.most for r in got)
+    assert {len(a) for a, *_ in rows} == {1, 2, 4, 8, 16}
+
+
+
 # ---- vectors
 def _recall(spark, x, ids=None, k=20, every=20):
     ids = np.arange(len(x)) if ids is None else ids
