@@ -27,6 +27,8 @@ SKETCH = 16
 #: Members of a bucket that are paired as they are; larger ones are cut first. Rows that a part of a bucket is paired with at
 #: a time, and others that are compared with one reading of a document.
 FEW, PART, OTHERS = 64, 4_096, 512
+#: Items of sets, about, that are dealt together.
+ROUND = 4_096
 _MEMO_WORDS = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -110,6 +112,49 @@ def superminhash(items: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def superminhash_all(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """``superminhash`` of each set, a row a set. Sets of about the same number of items, ROUND together, are dealt in one
+    go, level by level; a set leaves once no later rank can change it."""
+    out = np.full((len(sets), size), np.inf)
+    lengths = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    order = np.argsort(lengths, kind="stable")
+    few = int(np.searchsorted(lengths[order], 16, side="right"))
+    for i in order[:few]:
+        out[i] = _superminhash_few(sets[i], size)
+    order = order[few:]
+    rounds = np.cumsum(lengths[order]) // ROUND
+    for group in np.split(order, np.flatnonzero(np.diff(rounds)) + 1):
+        if len(group):
+            out[group] = _superminhash_round([sets[i] for i in group], size)
+    return out
+
+
+def _superminhash_round(sets: list[np.ndarray], size: int) -> np.ndarray:
+    h = np.full((len(sets), size), np.inf)
+    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    left = None
+    for j in range(size):
+        fraction, pick = _deal(items, np.uint64(j), np.uint64(size - j))
+        row = np.arange(len(items))
+        place = pick if left is None else left[row, pick].astype(np.int64)
+        np.minimum.at(h.reshape(-1), owner * size + place, fraction + j)
+        going = h.max(axis=1) >= j + 1
+        if not going.any():
+            break
+        if left is None:
+            stay = going[owner]
+            items, owner, pick = items[stay], owner[stay], pick[stay]
+            row = np.arange(len(items))
+            left = np.tile(np.arange(size, dtype=np.uint16), (len(items), 1))
+            left[row, pick] = 0
+        else:
+            left[row, pick] = left[row, j]
+            stay = going[owner]
+            if 4 * np.count_nonzero(stay) < 3 * len(stay):
+                items, owner, left = items[stay], owner[stay], left[stay]
+    return h
+
+
 def banding(threshold: float) -> tuple[int, int]:
     """Rows per band and bands: as many rows as leave pairs at the threshold a chance of at most MISS to escape."""
     best = (1, 1)
@@ -121,10 +166,11 @@ def banding(threshold: float) -> tuple[int, int]:
 
 
 def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    part = signature.view(np.uint64).reshape(bands, rows)
+    """The keys of a signature's bands, or of several signatures, a row each."""
+    part = signature.view(np.uint64).reshape(*signature.shape[:-1], bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64) * _Q
     for i in range(rows):
-        key = _mix((key ^ part[:, i]) * _P)
+        key = _mix((key ^ part[..., i]) * _P)
     return key.view(np.int64)
 
 
@@ -160,16 +206,17 @@ def signatures(docs: DataFrame, threshold: float, words: int = WORDS, id_col: st
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                s = shingle_set(text, words)
-                if len(s):
-                    out.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(superminhash(s, rows * bands), rows, bands), narrow(sketch(s), len(s))))
-                else:
-                    out.append((key, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["id", "n", "set_id", "bands", "sketch"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(sign, "id long, n long, set_id binary, bands array<long>, sketch array<long>")
+            sets = [shingle_set(text, words) for text in batch["text"]]
+            out = pd.DataFrame({"id": pd.arrays.IntegerArray(batch["id"].to_numpy("int64"), batch["null"].to_numpy("bool")), "n": [len(s) for s in sets]})
+            out["set_id"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            full = [s for s in sets if len(s)]
+            keys = iter(band_keys(superminhash_all(full, rows * bands), rows, bands) if full else ())
+            out["bands"] = [next(keys) if len(s) else None for s in sets]
+            out["sketch"] = [narrow(sketch(s), len(s)) if len(s) else None for s in sets]
+            yield out
+
+    key = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("null"), F.col(text_col).alias("text")).mapInPandas(sign, "id long, n long, set_id binary, bands array<long>, sketch array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:

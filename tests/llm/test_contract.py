@@ -241,6 +241,24 @@ def test_sketch():
         assert differ <= len(np.setxor1d(x, y)) and (minhash.sketch(x) == minhash.sketch(x[::-1])).all()
 
 
+def test_signatures_of_a_batch():
+    """Sets that are dealt together have the signatures and band keys they have alone; large ids stay whole beside null ones."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 16, 17, 18, 40, 3000, 90, 5, 250, 9000, 260, 17, 800)]
+    got = minhash.superminhash_all(sets, 252)
+    alone = np.array([minhash.superminhash(s, 252) for s in sets])
+    assert (got == alone).all() and np.isfinite(got).all()
+    assert (minhash.band_keys(got, 7, 36) == np.array([minhash.band_keys(h, 7, 36) for h in alone])).all()
+    assert minhash.superminhash_all([], 252).shape == (0, 252)
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = (1 << 62) + 1
+    docs = spark.createDataFrame([(big, "a b c d e f"), (None, "a b c d e f"), (big + 2, "A b c d e f"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 85).collect()}
+    assert got == {big: (2, big, True), big + 2: (2, big, False), None: (2, None, False), 3: (0, 3, True)}
+
+
 def test_narrow_sketches(spark):
     """Sketches of a width of their set's size still differ in at most as many bits as the sets in items."""
     rng = np.random.default_rng(9)
