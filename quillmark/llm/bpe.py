@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Workspace, bound_batches, read_table
+from quillmark.llm.common import Workspace, bound_batches, read_table, whole_id
 from quillmark.llm.transducer import Transducer, compile_words
 
 #: How many of the corpus' most frequent words the lexicon takes at most; bounds what the driver gathers and broadcasts.
@@ -346,8 +346,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = enc.encode_many(t or "" for t in batch["text"])
             yield pd.DataFrame({id_col: batch["id"], "ids": ids, "decoded": [enc.decode(i).decode() for i in ids]})
 
-    kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(encode, f"`{id_col}` {kind}, ids binary, decoded string")
+    key, kind, sent = whole_id(docs, id_col)
+    return docs.select(key, F.col(text_col).alias("text")).mapInPandas(encode, f"`{id_col}` {sent}, ids binary, decoded string").withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
 
 
 def tokenizer_path() -> str:

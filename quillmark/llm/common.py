@@ -99,6 +99,14 @@ class Workspace:
                 remove(self.spark, path)
 
 
+def whole_id(docs: DataFrame, id_col: str) -> tuple[Column, str, str]:
+    """An id as a column that Python workers get whole, with its own type and the type it is sent in. Pandas holds
+    integers beside nulls as floats, which have 53 bits, so integers are sent as strings."""
+    kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
+    sent = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+    return F.col(id_col).cast(sent).alias("id"), kind, sent
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.bpe import tokenizer_path, whole_texts
-from quillmark.llm.common import Workspace, read_table, with_rank
+from quillmark.llm.common import Workspace, read_table, whole_id, with_rank
 
 CAPACITY = 2048
 
@@ -176,8 +176,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
                     start, end = end, end + capacity
             yield pd.DataFrame(out, columns=[id_col, "piece", "start", "length", "ids"])
 
-    kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
+    key, kind, sent = whole_id(docs, id_col)
+    return docs.select(key, F.col(text_col).alias("text")).mapInPandas(cut, f"`{id_col}` {sent}, piece int, start long, length long, ids binary").withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = True) -> DataFrame:

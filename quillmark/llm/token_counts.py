@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import read_table
+from quillmark.llm.common import read_table, whole_id
 
 #: Stands for a space in pieces.
 MARK = "▁"
@@ -137,8 +137,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             yield pd.DataFrame({id_col: batch["id"], "n_tokens": [c.count(t) for t in batch["text"]]}).astype({"n_tokens": "int64"})
 
-    kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(count, f"`{id_col}` {kind}, n_tokens long")
+    key, kind, sent = whole_id(docs, id_col)
+    return docs.select(key, F.col(text_col).alias("text")).mapInPandas(count, f"`{id_col}` {sent}, n_tokens long").withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
 
 
 def pieces_path() -> str:

@@ -165,7 +165,9 @@ def write_archives(pages: DataFrame, folder: str, ws: Workspace, id_col: str = "
     revisits = ws.keep(plan_records(pages, ws, id_col, html_col))
     revisits = F.broadcast(revisits) if revisits.count() <= 500_000 else revisits
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(revisits, ["id", "digest"], "left").withColumn("task", F.spark_partition_id())
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(revisits, ["id", "digest"], "left")
+    # ids beside nulls: pandas would make them floats
+    rows = rows.withColumns({"id": F.col("id").cast("string"), "refers_to": F.col("refers_to").cast("string"), "task": F.spark_partition_id()})
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, size, names = 0, 0, []
@@ -241,9 +243,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         out.append((of(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], digest, int(head["X-Payload-Length"]), of(head.get("WARC-Refers-To")), None if revisit else block))
                         size += len(block)
                         if size > CHUNK * 4:
-                            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield pd.DataFrame(out, columns=names, dtype="object").astype({"page_id": "Int64", "refers_to": "Int64"})
                             out, size = [], 0
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=names, dtype="object").astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return spread(archives).mapInPandas(work, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 

@@ -259,6 +259,22 @@ def test_large_ids_beside_null_ones(spark):
     assert got == {big: (2, big, True), big + 2: (2, big, False), None: (2, None, False), 3: (0, 3, True)}
 
 
+def test_ids_beyond_floats(spark):
+    """Ids of more than 53 bits stay whole through Python workers, also where other rows have none."""
+    big = (1 << 62) + 1
+    docs = spark.createDataFrame([(big, "one two"), (None, "three"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    want = [big, big + 2, None]
+    ids = lambda df, c="doc_id": sorted((r[0] for r in df.select(c).collect()), key=lambda x: (x is None, x))
+    assert ids(token_counts.count_tokens(docs, token_counts.pieces_path())) == want
+    assert ids(bpe.encode_documents(docs, bpe.tokenizer_path())) == want
+    packed = packing.pack_documents(docs, bpe.tokenizer_path())
+    assert ids(packed) == want and dict(packed.dtypes)["doc_id"] == "bigint"
+    body = "x" * 200
+    pages = spark.createDataFrame([(big, "http://a/", body), (big + 2, "http://b/", body), (None, None, "y"), (7, "http://c/", "z")], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()}
+    assert got == {big: ("response", None), big + 2: ("revisit", big), None: ("response", None), 7: ("response", None)}
+
+
 def test_narrow_sketches(spark):
     """Sketches of a width of their set's size still differ in at most as many bits as the sets in items."""
     rng = np.random.default_rng(9)
