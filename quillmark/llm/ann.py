@@ -1,5 +1,5 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised
-residuals, asymmetric distance tables, and exact reranking."""
+residuals, asymmetric distance tables, and exact reranking. Lists and codes rule out by bounds, so nothing near is missed."""
 
 from __future__ import annotations
 
@@ -15,20 +15,19 @@ from pyspark.sql.window import Window
 
 from quillmark.llm.common import Workspace, read_table, salt
 
-#: Vectors that centroids, codebooks and the number of probes are fitted on at most; all vectors are indexed.
+#: Vectors that centroids and codebooks are fitted on at most; all vectors are indexed.
 SAMPLE = 20_000
 #: Coarse lists at most, and parts and codes of the product quantiser.
 MAX_LISTS, PARTS, CODES = 4_096, 16, 256
-#: Share of true neighbours in the sample that probed lists must hold.
-TARGET = 0.97
-#: Vectors of a list that a task holds at most; longer lists are cut into pieces.
-PIECE = 8_192
-#: Vectors that a task meets, about, one piece after another, and queries whose best scores it remembers on the way; if it
-#: meets more it starts afresh, and only returns more of what others outdo.
-MET, REMEMBERED = 65_536, 65_536
-#: Queries that are compared with a piece together, and candidates of a query in a piece that are reranked exactly.
-TOGETHER, RERANK = 128, 64
-#: Vectors of the sample that give a query its first candidates, at most, and an eighth of the sample at most.
+#: Vectors of a list that are scored together at most, and numbers in them at most.
+PIECE, PIECE_NUMBERS = 8_192, 1 << 20
+#: Vectors that a task holds, about, and numbers in them, about.
+HELD, HELD_NUMBERS = 65_536, 1 << 22
+#: Tasks of a search at least.
+TASKS = 8
+#: Queries that are compared with a piece together.
+TOGETHER = 128
+#: Vectors of the sample that tell a query what to reach, at most, and an eighth of the sample at most.
 FIRST = 2_048
 
 
@@ -50,54 +49,127 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """What is fitted: centroids, codebooks of residuals, and how many lists a query probes; and some
-    vectors of the sample, where queries start."""
+    """What is fitted: centroids, and codebooks of residuals; some vectors of the sample, where queries start; and, once
+    all vectors are in their lists, what bounds the inner products of a list, and which task holds it."""
 
-    def __init__(self, sample: np.ndarray, cids: np.ndarray, vectors: int, k: int, seed: int = 7):
-        first = min(len(sample), max(k + 1, min(FIRST, len(sample) // 8)))
-        self.first, self.first_cids = sample[:first], cids[:first]
+    def __init__(self, sample: np.ndarray, vectors: int, k: int, seed: int = 7):
+        self.first = sample[: min(len(sample), max(k + 1, min(FIRST, len(sample) // 8)))]
         lists = max(1, min(MAX_LISTS, round(math.sqrt(vectors)), len(sample)))
         self.centres = _kmeans(sample, lists, 8, seed)
         dim = sample.shape[1]
         parts = min(PARTS, dim)
         self.cuts = np.linspace(0, dim, parts + 1).astype(int)
-        own = _nearest(sample, self.centres)
-        rest = sample - self.centres[own]
+        rest = sample - self.centres[_nearest(sample, self.centres)]
         self.books = [_kmeans(np.ascontiguousarray(rest[:, a:b]), min(CODES, len(rest)), 6, seed + 1 + i) for i, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False))]
-        self.probes = self._calibrate(sample, own, k)
-
-    def _calibrate(self, sample: np.ndarray, own: np.ndarray, k: int) -> int:
-        """The least number of probed lists that holds TARGET of the true neighbours of up to 256 vectors of the sample."""
-        asked = sample[:: max(1, len(sample) // 256)]
-        scores = asked @ sample.T
-        top = np.argsort(-scores, axis=1)[:, : k + 1]
-        order = np.argsort(-(asked @ self.centres.T), axis=1)
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-        need = np.sort(np.take_along_axis(place, own[top], axis=1).ravel())
-        return int(need[min(len(need) - 1, math.ceil(TARGET * len(need)))]) + 1
+        #: Rounding of an inner product, as a share of the lengths of what is multiplied.
+        self.rounding = 4 * (dim + 64) * np.finfo(float).eps
+        self.piece = max(1, min(PIECE, PIECE_NUMBERS // dim))
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         rest = x - self.centres[own]
         return np.stack([_nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], axis=1).astype(np.uint8)
 
-    def probed(self, queries: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
-        """Which lists each query probes: the nearest ones, as many as were calibrated, and on until they hold ``least`` ids."""
-        order = np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")
-        need = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
-        return [o[:n] for o, n in zip(order, np.maximum(need, self.probes), strict=True)]
-
-    def search(self, where: int, codes: np.ndarray, x: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the RERANK best vectors of a piece of list ``where``, by distance tables of its own over their
-        codes, and their exact inner products."""
-        rough = np.repeat((queries @ self.centres[where])[:, None], len(x), axis=1)
-        for i, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books, strict=False)):
-            rough += np.take(queries[:, a:b] @ book.T, codes[:, i], axis=1)
-        if len(x) > RERANK:
-            hit = np.argpartition(-rough, RERANK, axis=1)[:, :RERANK]
-        else:
-            hit = np.tile(np.arange(len(x)), (len(queries), 1))
-        return hit, exact(x[hit], queries[:, None, :])
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
+
+    def settle(self, sizes: np.ndarray, far: np.ndarray, longest: np.ndarray) -> None:
+        """Take in how many vectors each list has, how far they are from its centroid at most, and how long at most; and deal
+        the lists to tasks, near lists to the same one. Long lists are cut into pieces, which may go to several tasks."""
+        self.far, self.scale = far, _norm(self.centres) + far + longest
+        self.longest = longest
+        self.order = np.array([x for x in _halved(self.centres, np.arange(len(sizes))) if sizes[x]], np.int64)
+        self.pieces = np.maximum(1, -(-sizes // self.piece))
+        pieces = self.pieces[self.order]
+        self.base = np.zeros(len(sizes), np.int64)
+        self.base[self.order] = np.cumsum(pieces) - pieces
+        load = np.repeat(sizes[self.order] / pieces, pieces)
+        most = min(HELD, HELD_NUMBERS // self.centres.shape[1] + 1, sizes.sum() / TASKS)
+        self.task_of = np.unique(((np.cumsum(load) - load / 2) / most).astype(np.int64), return_inverse=True)[1]
+        self.tasks = int(self.task_of[-1]) + 1
+        listed = np.repeat(np.arange(len(self.order)), pieces)
+        self.lo, self.hi = (np.array([f(listed[self.task_of == t]) for t in range(self.tasks)]) for f in (np.min, np.max))
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """What no inner product of a query with a vector of a list exceeds: that with the centroid and the query's length
+        times how far vectors are from it, or the query's length times theirs."""
+        length = _norm(queries)[:, None]
+        return np.minimum(queries @ self.centres.T + length * self.far, length * self.longest) + length * self.scale * self.rounding
+
+    def start(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """What each query reaches at least: the k-th best inner product of the first vectors of the sample, if there are k."""
+        if len(self.first) < k:
+            return np.full(len(queries), -np.inf)
+        hit = np.argpartition(-(queries @ self.first.T), k - 1, axis=1)[:, :k]
+        return exact(self.first[hit], queries[:, None, :]).min(axis=1)
+
+    def sent(self, queries: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which tasks (columns) each query goes to: those holding a list whose bound reaches ``least``."""
+        go = ~(self.bounds(queries)[:, self.order] < least[:, None])
+        before = np.concatenate([np.zeros((len(queries), 1), np.int64), np.cumsum(go, axis=1)], axis=1)
+        return before[:, self.hi + 1] > before[:, self.lo]
+
+    def hold(self, own: np.ndarray, cids: np.ndarray, x: np.ndarray, codes: np.ndarray) -> list[tuple]:
+        """A task's vectors by list, in pieces: list, ids, vectors, codes, how far codes are off, and lengths."""
+        out, order = [], np.argsort(own, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            for at in range(0, len(rows), self.piece):
+                r = rows[at : at + self.piece]
+                where = int(own[r[0]])
+                out.append((where, cids[r], x[r], codes[r], _norm(x[r] - self.centres[where] - self.decode(codes[r])), _norm(x[r])))
+        return out
+
+    def search(self, held: list[tuple], queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query its k best of the pieces that a task holds and that reach ``least``: number of the query, id, inner product.
+
+        A list is passed over if its bound is below what the query has reached, and so is a vector, by distance tables of
+        the query over the codes and how far its code is off; the others are scored by one matrix product, and those that
+        may be among the k best exactly. Comparisons let through what isn't a number.
+        """
+        n, length, most = len(queries), _norm(queries), self.bounds(queries)
+        of, near, score, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), least.copy()
+        gain = np.nan_to_num(most.max(axis=0))
+        for where, cids, x, codes, off, size in sorted(held, key=lambda h: -gain[h[0]]):
+            ask = np.flatnonzero(~(most[:, where] < floor))
+            if not len(ask):
+                continue
+            q, slack = queries[ask], length[ask] * self.scale[where] * self.rounding
+            rough = np.tile(q @ self.centres[where], (len(x), 1))
+            for i, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books, strict=False)):
+                rough += np.take(book @ q[:, a:b].T, codes[:, i], axis=0)
+            rough += off[:, None] * length[ask]
+            may = ~(np.minimum(rough, size[:, None] * length[ask], out=rough) + slack < floor[ask])
+            rows = np.flatnonzero(may.any(axis=1))
+            if not len(rows):
+                continue
+            score_of = np.where(may[rows], x[rows] @ q.T, -np.inf)
+            reach = floor[ask]
+            if len(rows) > k:
+                reach = np.fmax(reach, np.partition(score_of, -k, axis=0)[-k] - slack)
+            j, i = np.nonzero(may[rows] & ~(score_of + slack < reach))
+            block = max(1, PIECE_NUMBERS // x.shape[1])
+            found = np.concatenate([exact(x[rows[j[at : at + block]]], q[i[at : at + block]]) for at in range(0, len(j), block)] or [np.zeros(0)])
+            of, near, score = np.concatenate([of, ask[i]]), np.concatenate([near, cids[rows[j]]]), np.concatenate([score, found])
+            order = np.lexsort((near, -score, of))
+            counts = np.bincount(of, minlength=n)
+            ends = np.cumsum(counts)
+            order = order[np.arange(len(order)) - np.repeat(ends - counts, counts) < k]
+            of, near, score = of[order], near[order], score[order]
+            full = np.flatnonzero(counts >= k)
+            floor[full] = np.fmax(least[full], score[np.cumsum(np.minimum(counts, k))[full] - 1])
+        good = ~(score < least[of])
+        return of[good], near[good], score[good]
+
+
+def _halved(x: np.ndarray, at: np.ndarray) -> list[int]:
+    """Points in an order that keeps near ones together: halves across the widest direction, and halves of these."""
+    if len(at) < 2:
+        return at.tolist()
+    at = at[np.argsort(x[at, np.argmax(x[at].std(axis=0))], kind="stable")]
+    return _halved(x, at[: len(at) // 2]) + _halved(x, at[len(at) // 2 :])
+
+
+def _norm(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(axis=-1))
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -105,13 +177,6 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=-1)
 
 
-def start(index: Index, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the k best of the first vectors of the sample: their places, and exact inner products."""
-    k = min(k, len(index.first))
-    hit = np.argpartition(-(queries @ index.first.T), k - 1, axis=1)[:, :k]
-    return hit, exact(index.first[hit], queries[:, None, :])
-
-
 def _matrix(v) -> np.ndarray:
     return np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1)
 
@@ -124,15 +189,16 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): of each row that ``is_query`` holds for, the k nearest other rows that were found.
+    """(query_id, rank, id, score): of each row that ``is_query`` holds for, the k nearest other rows.
 
     Nearness is the largest inner product in double precision; ties go to the smaller id. Equal vectors form a class
     that is indexed once with its k + 1 smallest ids, which are all that any answer can name; so one very common vector
     is neither gathered nor scored again. The index is fitted on up to 20,000 classes chosen by a hash; every class is
-    indexed. A query goes to the lists it probes, and on to further ones until they hold k other ids, so each query gets
-    k rows if the table has as many others. Lists are cut into pieces of at most 8,192 vectors; a task holds a piece, and
-    its queries stream past. Some vectors of the sample, which are sent out with the index, give each query its first
-    candidates; tasks return only what isn't worse than these, nor than what a query met in the task before. The driver gets the sample and one count a list.
+    indexed. The fit decides how much work is spared, not what is found: lists and codes are passed over only by what
+    bounds their inner products, however queries and other rows are spread. Each task holds about 65,536 vectors of near
+    lists (fewer, if long), and the queries that may find something there stream past; it returns at most k + 1 rows of
+    a query. Where lists don't bound well, as of vectors without clusters, every query meets every task, and work grows
+    with the square of the rows. The driver gets the sample and one row a list.
 
     Vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows without id; such
     queries have no rows. Inner products need equal lengths: each length is a table of its own, with an index of its
@@ -170,7 +236,7 @@ def _nearest_of(vectors: DataFrame, is_query, k: int, ws: Workspace) -> DataFram
     if not n or asked.isEmpty():
         return spark.createDataFrame([], empty)
     sample = classes.select("v", F.xxhash64("key").alias("h"), "cid").orderBy("h", "cid").limit(SAMPLE).collect()
-    index = Index(_matrix([r.v for r in sample]), np.array([r.cid for r in sample]), n, k)
+    index = Index(_matrix([r.v for r in sample]), n, k)
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,70 +244,55 @@ def _nearest_of(vectors: DataFrame, is_query, k: int, ws: Workspace) -> DataFram
             if len(b):
                 x = _matrix(b["v"])
                 own = _nearest(x, shared.value.centres)
-                yield pd.DataFrame({"cid": b["cid"], "v": b["v"], "list": own, "code": [c.tobytes() for c in shared.value.encode(x, own)]})
+                yield pd.DataFrame({"cid": b["cid"], "v": b["v"], "list": own, "code": [c.tobytes() for c in shared.value.encode(x, own)], "far": _norm(x - shared.value.centres[own]), "size": _norm(x)})
 
-    placed = ws.keep(classes.mapInPandas(place, "cid long, v binary, list long, code binary"))
-    sizes, held_ids = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres), np.int64)
-    for r in placed.join(ids.select("cid", F.size("ids").alias("m")), "cid").groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m")).collect():
-        sizes[r["list"]], held_ids[r["list"]] = r.n, r.m
-    pieces = np.maximum(1, -(-sizes // PIECE))
-    queries = ws.keep(classes.join(asked.select("key").distinct(), "key", "left_semi").select("cid", "v"))
+    placed = ws.keep(classes.mapInPandas(place, "cid long, v binary, list long, code binary, far double, size double"))
+    sizes, far, longest = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres)), np.zeros(len(index.centres))
+    for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.max("size").alias("size")).collect():
+        sizes[r["list"]], far[r["list"]], longest[r["list"]] = r["n"], r["far"], r["size"]
+    index.settle(sizes, far, longest)
+    settled = spark.sparkContext.broadcast(index)
+    queries = classes.join(asked.select("key").distinct(), "key", "left_semi").select("cid", "v")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of a query for each piece it goes to, with the score to reach, and rows of what it found in the sample."""
+        """A row of a query for each task it goes to, with the score to reach and its own list, so that queries of a list meet."""
         for b in batches:
             for at in range(0, len(b), TOGETHER):
                 part = b[at : at + TOGETHER]
-                q, cids = _matrix(part["v"]), part["cid"].to_numpy(np.int64)
-                hit, score = start(shared.value, q, k + 1)
-                least = score.min(axis=1) if hit.shape[1] > k else np.full(len(q), -np.inf)
-                lists = shared.value.probed(q, held_ids, k + 1)
-                lists = [x[sizes[x] > 0] for x in lists]
-                where = [(i, name, piece) for i, x in enumerate(lists) for name in x.tolist() for piece in range(pieces[name])]
-                rows = np.array([i for i, _, _ in where], np.int64)
-                yield pd.DataFrame({"cid": cids[rows], "v": part["v"].to_numpy()[rows], "list": [x for _, x, _ in where], "piece": [x for _, _, x in where], "near": -1, "score": least[rows]})
-                yield pd.DataFrame({"cid": np.repeat(cids, hit.shape[1]), "v": None, "list": -1, "piece": -1, "near": shared.value.first_cids[hit].ravel(), "score": score.ravel()})
-
-    sent = ws.keep(queries.mapInPandas(send, "cid long, v binary, list long, piece long, near long, score double"))
-    piece_of = spark.sparkContext.broadcast(pieces)
+                q = _matrix(part["v"])
+                least = settled.value.start(q, k + 1)
+                i, task = np.nonzero(settled.value.sent(q, least))
+                own = _nearest(q, settled.value.centres)
+                yield pd.DataFrame({"task": task, "list": own[i], "asks": True, "cid": part["cid"].to_numpy()[i], "v": part["v"].to_numpy()[i], "code": None, "score": least[i]})
 
     @F.pandas_udf("long")
-    def cut(name: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series(h.to_numpy() % piece_of.value[name.to_numpy()])
+    def task_of(name: pd.Series, h: pd.Series) -> pd.Series:
+        at, name = settled.value, name.to_numpy()
+        return pd.Series(at.task_of[at.base[name] + h.to_numpy() % at.pieces[name]])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spot, cids, codes, vectors, x = None, [], [], [], None
-        best: dict[int, np.ndarray] = {}  # the k + 1 best scores that a query has met in this task so far
-        nothing = np.full(k + 1, -np.inf)
+        spot, parts, held = None, [], None
         for b in batches:
-            for (name, piece, asks), part in b.groupby(["list", "piece", "asks"], sort=False):
-                if (name, piece) != spot:
-                    spot, cids, codes, vectors, x = (name, piece), [], [], [], None
+            for (task, asks), part in b.groupby(["task", "asks"], sort=False):
+                if task != spot:
+                    spot, parts, held = task, [], None
                 if not asks:
-                    cids.append(part["cid"].to_numpy(np.int64)), vectors.append(_matrix(part["v"]))
-                    codes.append(np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1))
+                    parts.append((part["list"].to_numpy(np.int64), part["cid"].to_numpy(np.int64), _matrix(part["v"]), np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)))
                     continue
-                if not cids:
+                if not parts and held is None:
                     continue
-                if x is None:
-                    x, c, known = np.concatenate(vectors), np.concatenate(codes), np.concatenate(cids)
+                if held is None:
+                    held, parts = settled.value.hold(*(np.concatenate(c) for c in zip(*parts, strict=True))), []
                 for at in range(0, len(part), TOGETHER):
                     some = part[at : at + TOGETHER]
-                    hit, score = shared.value.search(name, c, x, _matrix(some["v"]))
-                    own = some["cid"].tolist()
-                    top = np.concatenate([np.stack([best.get(q, nothing) for q in own]), score], axis=1)
-                    top = np.partition(top, -(k + 1), axis=1)[:, -(k + 1) :]
-                    if len(best) >= REMEMBERED:
-                        best.clear()
-                    best.update(zip(own, top, strict=True))
-                    i, j = np.nonzero(score >= np.maximum(some["score"].to_numpy(), top.min(axis=1))[:, None])
-                    yield pd.DataFrame({"cid": some["cid"].to_numpy()[i], "near": known[hit[i, j]], "score": score[i, j]})
-
-    held = placed.withColumn("piece", cut("list", F.shiftrightunsigned(F.xxhash64("cid"), 1)))
-    both = held.select("list", "piece", F.lit(False).alias("asks"), "cid", "v", "code", F.lit(0.0).alias("score"))
-    both = both.unionByName(sent.filter("list >= 0").select("list", "piece", F.lit(True).alias("asks"), "cid", "v", F.lit(None).cast("binary").alias("code"), "score"))
-    both = both.repartition(min(max(8, math.ceil(n / MET)), 20_000), "list", "piece").sortWithinPartitions("list", "piece", "asks")
-    met = both.mapInPandas(meet, "cid long, near long, score double").unionByName(sent.filter("list < 0").select("cid", "near", "score")).distinct()
+                    of, near, score = settled.value.search(held, _matrix(some["v"]), some["score"].to_numpy(np.float64), k + 1)
+                    yield pd.DataFrame({"cid": some["cid"].to_numpy(np.int64)[of], "near": near, "score": score})
+
+    form = "task long, list long, asks boolean, cid long, v binary, code binary, score double"
+    held = placed.withColumn("task", task_of("list", F.shiftrightunsigned(F.xxhash64("cid"), 1)))
+    both = held.select("task", "list", F.lit(False).alias("asks"), "cid", "v", "code", F.lit(0.0).alias("score")).unionByName(queries.mapInPandas(send, form))
+    both = both.repartitionById(index.tasks, F.col("task").cast("int")).sortWithinPartitions("task", "asks", "list")
+    met = both.mapInPandas(meet, "cid long, near long, score double")
     order = [F.desc("score"), F.asc("near")]
     best = met.withColumn("_rn", F.row_number().over(Window.partitionBy("cid").orderBy(*order))).filter(F.col("_rn") <= k + 1)
     named = best.join(ids.select(F.col("cid").alias("near"), "ids"), "near").select("cid", "score", F.explode("ids").alias("id"))

@@ -325,6 +325,21 @@ def test_ann_kinds(spark, monkeypatch):
     assert _recall(spark, rng.normal(size=(15, 3))) == 1.0
 
 
+def test_ann_queries_unlike_the_rest(spark, monkeypatch):
+    """Every true neighbour is found, whatever the index was fitted on: queries far from clusters that all other rows are
+    in, clusters too tight for codes, lengths of many magnitudes; also where lists are cut and dealt to many tasks."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    wild = centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 32)) * 0.02
+    wild[::20] = rng.normal(size=(150, 32))
+    assert _recall(spark, wild) == 1.0
+    monkeypatch.setattr(ann, "PIECE", 30)
+    tight = centres[rng.integers(0, 5, 1500)] + rng.normal(size=(1500, 32)) * 0.001
+    assert _recall(spark, tight) == 1.0
+    long = rng.normal(size=(1500, 8)) * np.exp(rng.normal(size=(1500, 1)) * 3)
+    assert _recall(spark, long) == 1.0
+
+
 def test_ann_lengths(spark):
     rows = [(i, [float(i), 1.0]) for i in range(1, 31)] + [(i, [float(i), 1.0, 2.0]) for i in range(31, 45)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
