@@ -189,7 +189,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
 
 
 #: The rules of the query.
-RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

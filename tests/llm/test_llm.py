@@ -162,6 +162,21 @@ def test_urls(spark):
     assert found[1].host == found[3].path == "" and found[4].host == "a.org" and found[4].rule is None and found[5].verdict == "block"
 
 
+def test_url_rules(spark, tmp_path):
+    """The contract's rules and words, written out, on URLs that each of them decides."""
+    want = {
+        1: ("http://a.org/x", "org/", "allow"),
+        2: ("http://example.org/es/2", "example.org/es/", "block"),
+        3: ("https://www.Example.org/en/17?page=2", "example.org/en/1", "block"),
+        4: ("http://example.org/en/2", "org/", "allow"),
+        5: ("http://b.com/fr/1", "com/fr/", "allow"),
+        6: ("http://b.com/de/1", "com/de/", "block"),
+    }
+    spark.createDataFrame([(i, u, "") for i, (u, _, _) in want.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = url_filter.op6_url_filter(spark, str(tmp_path)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == {i: w[1:] for i, w in want.items()}
+
+
 def test_url_counts_are_exact(spark, monkeypatch):
     """Ratios of URLs with far more distinct grams than 2^20 slots take without collisions, against plain dictionaries."""
     draw = random.Random(5)
